@@ -1,29 +1,57 @@
-"""A corpus pipeline: language, near duplicates, benchmark passages, personal data, packing."""
+"""A corpus pipeline: language, near duplicates, benchmark passages, personal data, packing.
+
+Each stage takes the documents that its predecessor kept and returns those that it keeps,
+all columns; the last returns packed pieces. A stage's rows are written as Parquet and read
+again, so an executor's loss costs one stage's work at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import decontaminate, language, packing
+from corvane.llm import decontaminate, language, nearjoin, packing, pseudonyms
 from corvane.llm.queries import table
 from corvane.llm.shared import cut
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go: no language can be told."""
     return language.keep_identified(docs)
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return nearjoin.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates and addresses get pseudonyms; n_chars follows the text."""
+    names = docs.columns
+    out = pseudonyms.pseudonymised(docs, pseudonyms.DEMO_KEY)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.op9(docs)
 
 
-STAGES = [("language", identified), ("decontaminate", decontaminated), ("pack", packed)]
+STAGES = [
+    ("language", identified),
+    ("near_duplicates", deduplicated),
+    ("decontaminate", decontaminated),
+    ("pseudonyms", pseudonymised),
+    ("packing", packed),
+]
 
-#: Language models and packing have no SQL.
+#: The language model, the permutations and the packing have no SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 

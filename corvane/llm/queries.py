@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, packing, pseudonyms, quality, repeats, toxicity, warc
+from . import decontaminate, fingerprint, language, nearjoin, packing, pseudonyms, quality, repeats, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_fingerprint": op4_fingerprint,
     "op5_toxicity": op5_toxicity,
+    "op6_near_join": op6_near_join,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
