@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,8 +150,7 @@ def trained(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = 6
     """A model of the rows that have a language and aren't held out, at most about `most` of each."""
     known = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder))
     some = wg.sample(known.select("doc_id", "lang", "text"), "lang", most, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
-    rows: pd.DataFrame = some.filter("text is not null").toPandas().sort_values(["doc_id", "text"])
-    return Model(rows["text"].tolist(), rows["lang"].tolist())
+    return wg.fitted(some.filter("text is not null"), lambda x: Model(x["text"].tolist(), x["lang"].tolist()))
 
 
 def labelled(model) -> callable:

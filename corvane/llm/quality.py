@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,8 +175,8 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = wg.sample(known, "quality", most, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
-    rows: pd.DataFrame = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["quality"].to_numpy()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "quality")
+    model = docs.sparkSession.sparkContext.broadcast(wg.fitted(rows, lambda x: fit(x["text"].tolist(), x["quality"].to_numpy(float))))
     return docs.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "text").mapInArrow(scored(model), "doc_id long, held_out boolean, score double")
 
 

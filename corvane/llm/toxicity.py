@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,8 +116,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = wg.sample(known, "toxic", most, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
-    rows: pd.DataFrame = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    model = docs.sparkSession.sparkContext.broadcast(fit_calibrated(rows["text"].tolist(), rows["toxic"].to_numpy()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "toxic")
+    model = docs.sparkSession.sparkContext.broadcast(wg.fitted(rows, lambda x: fit_calibrated(x["text"].tolist(), x["toxic"].to_numpy(float))))
     return docs.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "text").mapInArrow(scored(model), "doc_id long, held_out boolean, score double")
 
 

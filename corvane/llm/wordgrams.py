@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,5 +61,18 @@ def sample(rows: DataFrame, label: str, most: int, order: Column) -> DataFrame:
     return rows.filter(order < cut).limit(2 * most * max(len(n), 1))
 
 
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """fit(rows) as one task does it; rows must be few, as sample() leaves them. They come sorted."""
+    names, order = rows.columns, ["doc_id", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        frame = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({c: [] for c in names})
+        yield pa.record_batch([pa.array([pickle.dumps(fit(frame.sort_values(order, ignore_index=True)))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pd.DataFrame({c: [] for c in names}))
+
+
 def arrow_texts(rows: list) -> pa.Array:
     return pa.array(rows, pa.large_string())
