@@ -1,6 +1,603 @@
-"""Relational cores of the engine's operators, bound to the driver's tables."""
+"""The operators' relational cores over the driver's tables, each with the SQL that says the same.
+
+A user (or an order, a supplier) stands for a function, the order of time for lines, an
+event type for what a detector reports, a document or page for a file.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import scalars as S
+from .operators import closure, converge, joins, merging
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of a table loader, and its SQL."""
+
+    def register(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[build.__name__] = run
+        if sql:
+            ORACLE_SQL[build.__name__] = sql
+        return build
+
+    return register
+
+
+# ---- sources
+
+
+@query("SELECT doc_id, sha256(text) AS checksum, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS loc FROM documents")
+def content_hash_facts(t):
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("checksum"), S.line_count(F.col("text")).alias("loc"))
+
+
+@query("""
+WITH o AS (SELECT doc_id, md5(text) AS c FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN md5(text || '!') ELSE md5(text) END AS c FROM documents WHERE doc_id % 3 <> 1)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'gone' WHEN o.c = n.c THEN 'unchanged' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.doc_id = n.doc_id
+""")
+def incremental_diff(t):
+    docs = t("documents")
+    old = docs.filter("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("c"))
+    new = docs.filter("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("c"))
+    return merging.changes(old, new, "doc_id", "c")
+
+
+EXCLUDED = ("de", "es", "blog", "tests", "vendor")
+
+
+@query("""
+SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(split_part(url, '://', 2), '/', 2) AS first_segment
+FROM pages WHERE NOT list_has_any(list_transform(string_split(split_part(url, '?', 1), '/'), lambda s: lower(s)), ['de', 'es', 'blog', 'tests', 'vendor'])
+""")
+def source_exclude_filter(t):
+    url = F.col("url")
+    segments = F.split(F.split_part(url, F.lit("?"), F.lit(1)), "/")
+    rest = F.split_part(url, F.lit("://"), F.lit(2))
+    part = lambda n: F.split_part(rest, F.lit("/"), F.lit(n))
+    return t("pages").filter(~F.exists(segments, lambda s: F.lower(s).isin(*EXCLUDED))).select("page_id", part(1).alias("host"), part(2).alias("first_segment"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS k, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1)
+SELECT o_orderkey, c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS line
+FROM orders JOIN s ON o_custkey = k AND o_orderdate BETWEEN a AND b JOIN customer ON c_custkey = k
+""")
+def function_scope_join(t):
+    orders = t("orders")
+    scopes = orders.groupBy(F.col("o_custkey")).agg(F.min("o_orderdate").alias("scope_start"), F.max("o_orderdate").alias("scope_end"))
+    inside = joins.in_scope(orders, scopes, ["o_custkey"], "o_orderdate", "scope_start", "scope_end")
+    inside = inside.join(t("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return inside.select("o_orderkey", "c_custkey", F.row_number().over(Window.partitionBy("c_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("line"))
+
+
+@query("""
+SELECT CAST(file AS BIGINT) AS user_id, CAST(n AS BIGINT) AS n, event_type FROM (SELECT user_id AS file, event_type, count(*) AS n FROM events GROUP BY ALL) ORDER BY user_id, event_type
+""")
+def list_by_type(t):
+    return t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).orderBy("user_id", "event_type")
+
+
+@query("SELECT event_type, count(*) AS n, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS latest_id FROM events GROUP BY event_type")
+def latest_scan_id(t):
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_id"))
+
+
+# ---- graph
+
+
+@query("""
+SELECT DISTINCT 'customer' AS entity_type, CAST(c_nationkey AS BIGINT) AS entity_id, c_mktsegment AS name FROM customer
+UNION SELECT DISTINCT 'supplier', CAST(s_nationkey AS BIGINT), '' FROM supplier
+UNION SELECT DISTINCT 'part', CAST(p_size AS BIGINT), p_brand FROM part
+""")
+def insert_distinct_nodes(t):
+    rows = t("customer").select(F.lit("customer").alias("entity_type"), F.col("c_nationkey").cast("long").alias("entity_id"), F.col("c_mktsegment").alias("name"))
+    rows = rows.unionByName(t("supplier").select(F.lit("supplier").alias("entity_type"), F.col("s_nationkey").cast("long").alias("entity_id"), F.lit("").alias("name")))
+    return rows.unionByName(t("part").select(F.lit("part").alias("entity_type"), F.col("p_size").cast("long").alias("entity_id"), F.col("p_brand").alias("name"))).dropDuplicates()
+
+
+@query("""
+WITH f AS (SELECT p_name, max(p_partkey) AS k FROM part WHERE p_partkey % 4 <> 0 GROUP BY p_name)
+SELECT l_orderkey, l_linenumber, coalesce(k, 0) AS callee, k IS NULL AS is_external
+FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN f ON part.p_name = f.p_name
+""")
+def call_edges_external(t):
+    parts = t("part").select("p_partkey", "p_name")
+    # the last of equal names wins
+    functions = parts.filter("p_partkey % 4 <> 0").groupBy("p_name").agg(F.max("p_partkey").alias("k"))
+    calls = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return calls.join(functions, "p_name", "left").select("l_orderkey", "l_linenumber", F.coalesce("k", F.lit(0)).alias("callee"), F.col("k").isNull().alias("is_external"))
+
+
+def user_edges(t, least: int = 1) -> DataFrame:
+    """A user leads to the next user with an event of the same type within a second, by time."""
+    window = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = t("events").select("event_type", "ts", "event_id", "user_id").withColumn("dst", F.lead("user_id").over(window)).withColumn("_to", F.lead("ts").over(window))
+    near = (F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 20_000_000
+    return e.filter(near & (F.col("user_id") != F.col("dst")) & (F.col("event_type") == "error")).select(F.col("user_id").alias("src"), "dst").distinct()
+
+
+USER_EDGES = """
+edges AS (
+  SELECT DISTINCT user_id AS src, dst FROM (
+    SELECT event_type, ts, user_id, lead(user_id) OVER w AS dst, lead(ts) OVER w AS to_ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
+  ) WHERE event_type = 'error' AND epoch_us(to_ts) - epoch_us(ts) < 20000000 AND user_id <> dst
+)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {USER_EDGES}, entries AS (SELECT DISTINCT src AS node FROM edges WHERE src % 7 = 0),
+r AS (SELECT node AS root, node FROM entries UNION SELECT root, dst FROM r JOIN edges ON node = src)
+SELECT root, node FROM r
+""")
+def graph_reach_multi(t):
+    edges = closure.cut(user_edges(t))
+    entries = edges.filter("src % 7 = 0").select(F.col("src").alias("root"), F.col("src").alias("node"))
+    return closure.reach(edges, entries)
+
+
+@query(f"""
+WITH RECURSIVE {USER_EDGES},
+r AS (SELECT DISTINCT src AS root, src AS node FROM edges UNION SELECT root, dst FROM r JOIN edges ON node = src),
+pairs AS (SELECT a.root AS x, a.node AS y FROM r a JOIN r b ON a.root = b.node AND a.node = b.root AND a.root <> a.node)
+SELECT x AS node, least(x, min(y)) AS component FROM pairs GROUP BY x
+""")
+def graph_scc_cycles(t):
+    return closure.strong_components(closure.cut(user_edges(t)))
+
+
+@query("""
+WITH a AS (SELECT conv_id, turn, unnest(w) AS arg, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations)),
+b AS (SELECT conv_id, turn, unnest(w) AS param, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations))
+SELECT a.conv_id, a.turn, CAST(a.pos AS INTEGER) AS pos, arg, param FROM a JOIN b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.pos = b.pos
+""")
+def param_binding_positional(t):
+    words = t("conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", " "), 1, 4)).alias("pos", "arg"))
+    params = words.select("conv_id", (F.col("turn") - 1).alias("turn"), "pos", F.col("arg").alias("param"))
+    return words.join(params, ["conv_id", "turn", "pos"]).select("conv_id", "turn", "pos", "arg", "param")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, CAST(floor(value) AS BIGINT) % 5 AS lock FROM events WHERE event_type IN ('signup', 'purchase'))
+SELECT a.user_id, h.lock AS held, a.lock AS acquired, count(*) AS n
+FROM e a JOIN e h ON a.user_id = h.user_id AND h.line < a.line AND h.event_type = 'signup' AND a.event_type = 'signup' AND h.lock <> a.lock
+WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.user_id = a.user_id AND r.event_type = 'purchase' AND r.lock = h.lock AND r.line > h.line AND r.line < a.line)
+  AND NOT EXISTS (SELECT 1 FROM e g WHERE g.user_id = a.user_id AND g.event_type = 'signup' AND g.lock = h.lock AND g.line > h.line AND g.line < a.line)
+GROUP BY ALL
+""")
+def lock_order_pairs(t):
+    """Locks held at each acquisition: the last event of each other lock before it was its acquisition."""
+    window = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lock = F.pmod(F.floor("value"), F.lit(5)).alias("lock")
+    e = t("events").filter(F.col("event_type").isin("signup", "purchase")).select("user_id", "event_type", lock, F.row_number().over(window).alias("line"))
+    window_before = Window.partitionBy("user_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("lock") == k, F.struct("line", F.col("event_type") == "signup"))).over(window_before).alias(f"l{k}") for k in range(5)]
+    at = e.select("user_id", "event_type", "lock", *last).filter("event_type = 'signup'")
+    held = F.filter(F.array(*(F.when(F.col(f"l{k}.col2"), F.lit(k).cast("long")) for k in range(5))), lambda x: x.isNotNull())
+    rows = at.select("user_id", F.explode(held).alias("held"), F.col("lock").alias("acquired")).filter("held <> acquired")
+    return rows.groupBy("user_id", "held", "acquired").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_suppkey, l_partkey, CASE WHEN bool_or(l_returnflag = 'R') AND bool_or(l_returnflag <> 'R') THEN 'read_write' WHEN bool_or(l_returnflag = 'R') THEN 'write' ELSE 'read' END AS access
+FROM lineitem GROUP BY ALL
+""")
+def global_access_kind(t):
+    writes, reads = F.max(F.col("l_returnflag") == "R"), F.max(F.col("l_returnflag") != "R")
+    return t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.when(writes & reads, "read_write").when(writes, "write").otherwise("read").alias("access"))
+
+
+@query("""
+WITH a AS (SELECT l_partkey, l_suppkey, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS w, max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY ALL)
+SELECT l_partkey, CAST(sum(w) AS BIGINT) AS writers, CAST(sum(r) AS BIGINT) AS readers, sum(w) >= 1 AND sum(w) + sum(r) >= 2 AS confirmed FROM a GROUP BY l_partkey
+""")
+def shared_access_confirm(t):
+    by = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("w"), F.max((F.col("l_returnflag") != "R").cast("int")).alias("r"))
+    out = by.groupBy("l_partkey").agg(F.sum("w").alias("writers"), F.sum("r").alias("readers"))
+    return out.withColumn("confirmed", (F.col("writers") >= 1) & (F.col("writers") + F.col("readers") >= 2))
+
+
+# ---- dataflow
+
+
+@query("""
+SELECT c.event_id, max(e.ts) AS source_ts FROM events c LEFT JOIN events e ON e.user_id = c.user_id AND e.event_type = 'error' AND e.ts <= c.ts
+WHERE c.event_type = 'click' GROUP BY c.event_id
+""")
+def null_source_asof(t):
+    e = t("events")
+    clicks = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    errors = e.filter("event_type = 'error'").select("user_id", F.col("ts").alias("source_ts"))
+    return joins.latest_before(clicks, errors, ["user_id"], "ts", "source_ts").select("event_id", "source_ts")
+
+
+@query("""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events)
+SELECT p.event_id FROM e p WHERE p.event_type = 'purchase'
+  AND EXISTS (SELECT 1 FROM e g WHERE g.user_id = p.user_id AND g.event_type = 'error' AND g.line < p.line
+    AND NOT EXISTS (SELECT 1 FROM e k WHERE k.user_id = p.user_id AND k.event_type = 'signup' AND k.line > g.line AND k.line < p.line))
+""")
+def may_reach_straightline(t):
+    window = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("line"))).over(Window.partitionBy("user_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    e = t("events").select("user_id", "event_type", "event_id", F.row_number().over(window).alias("line"))
+    e = e.withColumn("gen", last("error")).withColumn("kill", last("signup"))
+    return e.filter((F.col("event_type") == "purchase") & (F.col("gen") > F.coalesce("kill", F.lit(0)))).select("event_id")
+
+
+@query("SELECT o_custkey, bool_and(ok) AS must FROM (SELECT o_custkey, o_orderstatus, bool_or(o_totalprice > 100000) AS ok FROM orders GROUP BY ALL) GROUP BY o_custkey")
+def must_reach_branches(t):
+    branches = t("orders").groupBy("o_custkey", "o_orderstatus").agg(F.bool_or(F.col("o_totalprice") > 100000).alias("ok"))
+    return branches.groupBy("o_custkey").agg(F.bool_and("ok").alias("must"))
+
+
+@query("""
+WITH g AS (
+  SELECT user_id, value, max(value) OVER w AS top, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT user_id, min(value) AS lo, CASE WHEN count(*) FILTER (line > 1 AND value > top) > 3 THEN NULL ELSE max(value) END AS hi, count(*) FILTER (line > 1 AND value > top) AS growths FROM g GROUP BY user_id
+""")
+def interval_hull_widen(t):
+    window = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    g = t("events").select("user_id", "value", F.max("value").over(window.rowsBetween(Window.unboundedPreceding, -1)).alias("top"))
+    growths = F.count(F.when(F.col("value") > F.col("top"), 1))
+    return g.groupBy("user_id").agg(F.min("value").alias("lo"), F.when(growths <= 3, F.max("value")).alias("hi"), growths.alias("growths"))
+
+
+@query("""
+WITH RECURSIVE seed AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_totalprice > 400000),
+steps AS (SELECT 'c' AS kind, c AS id FROM seed
+  UNION SELECT * FROM (
+    SELECT 'o' AS kind, o_orderkey AS id FROM steps JOIN orders ON steps.kind = 'c' AND o_custkey = steps.id AND o_orderstatus = 'P'
+    UNION ALL SELECT 'p', l_partkey FROM steps JOIN lineitem ON steps.kind = 'o' AND l_orderkey = steps.id
+    UNION ALL SELECT 's', l_suppkey FROM steps JOIN lineitem ON steps.kind = 'o' AND l_orderkey = steps.id))
+SELECT kind, count(*) AS n FROM steps GROUP BY kind
+""")
+def taint_fixpoint(t):
+    """From customers with a large order over their open orders to parts and suppliers."""
+    orders, lines = t("orders"), t("lineitem")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    edges = edge(orders.filter("o_orderstatus = 'P'"), name("c", "o_custkey"), name("o", "o_orderkey"))
+    edges = edges.unionByName(edge(lines, name("o", "l_orderkey"), name("p", "l_partkey"))).unionByName(edge(lines, name("o", "l_orderkey"), name("s", "l_suppkey")))
+    entries = orders.filter("o_totalprice > 400000").select(F.lit("taint").alias("root"), name("c", "o_custkey").alias("node")).distinct()
+    found = closure.reach(edges, entries)
+    return found.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+# ---- filters
+
+
+@query("""
+WITH e AS (SELECT * FROM events), g AS (SELECT user_id, ts AS a, ts + INTERVAL 2 HOUR AS b FROM events WHERE event_type = 'view')
+SELECT p.event_id FROM e p WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM g WHERE g.user_id = p.user_id AND p.ts BETWEEN a AND b)
+""")
+def guard_interval_anti(t):
+    e = t("events")
+    guards = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("scope_start"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("scope_end"))
+    return joins.in_scope(e.filter("event_type = 'purchase'"), guards, ["user_id"], "ts", "scope_start", "scope_end", "left_anti").select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def release_anti(t):
+    released = t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return joins.absent(t("orders").select("o_orderkey"), released, ["o_orderkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def ownership_anti(t):
+    moved = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.absent(t("customer").select("c_custkey"), moved, ["c_custkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 40)")
+def reachable_semi(t):
+    large = t("part").filter("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
+    return joins.present(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), large, ["l_partkey"]).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+SELECT p_partkey FROM part WHERE NOT ((p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') OR p_type LIKE 'PROMO%') AND p_size NOT IN (1, 2, 3))
+""")
+def safe_set_exclude(t):
+    safe = F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13") | F.col("p_type").startswith("PROMO")
+    return t("part").filter(~(safe & ~F.col("p_size").isin(1, 2, 3))).select("p_partkey")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_quantity < 30)")
+def size_bound_guard(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("m")).filter("m < 30").select("l_orderkey")
+
+
+@query("""
+SELECT f.l_orderkey AS free_order, u.l_orderkey AS use_order, f.l_partkey AS part FROM lineitem f JOIN lineitem u
+ON f.l_partkey = u.l_partkey AND f.l_suppkey = u.l_suppkey AND f.l_returnflag = 'R' AND u.l_shipdate > f.l_shipdate
+""")
+def use_after_release_pairs(t):
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    f, u = lines.filter("l_returnflag = 'R'").alias("f"), lines.alias("u")
+    on = (F.col("f.l_partkey") == F.col("u.l_partkey")) & (F.col("f.l_suppkey") == F.col("u.l_suppkey")) & (F.col("u.l_shipdate") > F.col("f.l_shipdate"))
+    return f.join(u, on).select(F.col("f.l_orderkey").alias("free_order"), F.col("u.l_orderkey").alias("use_order"), F.col("f.l_partkey").alias("part"))
+
+
+@query("""
+WITH r AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER w AS n, first_value(l_orderkey) OVER w AS first_order
+FROM lineitem WHERE l_returnflag = 'R' WINDOW w AS (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber))
+SELECT l_partkey, l_suppkey, first_order, l_orderkey AS second_order, n FROM r WHERE n > 1
+""")
+def double_release_pairs(t):
+    window = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    r = t("lineitem").filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey", F.first("l_orderkey").over(window).alias("first_order"), F.col("l_orderkey").alias("second_order"), F.row_number().over(window).cast("long").alias("n"))
+    return r.filter("n > 1")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_partkey, l_returnflag, l_suppkey FROM lineitem), n AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS flags FROM a GROUP BY 1)
+SELECT l_partkey, count(*) AS common FROM (SELECT a.l_partkey, l_suppkey FROM a JOIN n USING (l_partkey) GROUP BY a.l_partkey, l_suppkey, flags HAVING count(*) = flags) GROUP BY 1
+""")
+def lockset_intersection(t):
+    """Suppliers that every return flag of a part has: the intersection of its sets."""
+    sets = t("lineitem").groupBy("l_partkey", "l_returnflag").agg(F.collect_set("l_suppkey").alias("s"))
+    common = sets.groupBy("l_partkey").agg(F.collect_list("s").alias("all")).select("l_partkey", F.size(F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda acc, s: F.array_intersect(acc, s))).cast("long").alias("common"))
+    return common.filter("common > 0")
+
+
+# ---- detectors over text
+
+SECRET = r'(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"'
+
+
+@query(r"""
+SELECT doc_id, lower(regexp_extract(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 1)) AS name,
+  CAST(length(regexp_extract(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 2)) AS INTEGER) AS size
+FROM documents WHERE regexp_matches(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"')
+""")
+def hardcoded_secret_scan(t):
+    text = F.col("text")
+    return t("documents").filter(text.rlike(SECRET)).select("doc_id", F.lower(F.regexp_extract(text, SECRET, 1)).alias("name"), F.length(F.regexp_extract(text, SECRET, 2)).alias("size"))
+
+
+def counted_tokens(t, pattern: str) -> DataFrame:
+    n = F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long")
+    return t("documents").select("doc_id", n.alias("n")).filter("n > 0")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]*(?:md|des|rc)[0-9a-z]*', 0)) AS BIGINT) AS n FROM documents WHERE n > 0")
+def weak_token_scan(t):
+    return counted_tokens(t, "[A-Za-z]*(?:md|des|rc)[0-9a-z]*")
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?:exec|sel|ins|and)[a-z]+', 0)) AS BIGINT) AS n FROM documents WHERE n > 0")
+def injection_token_scan(t):
+    return counted_tokens(t, r"(?:exec|sel|ins|and)[a-z]+")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '%[%a-z]', 0)) AS BIGINT) AS n FROM documents WHERE n > 0")
+def format_spec_scan(t):
+    return counted_tokens(t, "%[%a-z]")
+
+
+@query(r"""
+SELECT page_id, CAST(len(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS BIGINT) AS links, list_aggregate(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1)), 'count') AS distinct_links FROM pages
+""")
+def path_token_scan(t):
+    found = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
+    return t("pages").select("page_id", F.size(found).cast("long").alias("links"), F.size(F.array_distinct(found)).cast("long").alias("distinct_links"))
+
+
+# ---- convergence
+
+LEVELS = {"error": "confirmed", "purchase": "suspected", "click": "possible"}
+
+
+def seeded(t) -> DataFrame:
+    events = t("events").filter(F.col("event_type").isin("error", "purchase", "click"))
+    people = t("customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_nationkey", "c_mktsegment")
+    nations = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = events.join(people, "user_id", "left").join(nations, "c_nationkey", "left")
+    level = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in LEVELS.items()))
+    return rows.select("event_id", "user_id", "ts", "event_type", "value", F.coalesce(F.nullif("c_name", F.lit("")), F.lit("external")).alias("function"), F.coalesce("n_name", F.lit("?")).alias("file"), F.coalesce("c_mktsegment", F.lit("none")).alias("api"), level.alias("suspicion"))
+
+
+SEEDED = """
+seeded AS (
+  SELECT event_id, user_id, ts, event_type, value, coalesce(nullif(c_name, ''), 'external') AS function, coalesce(n_name, '?') AS file, coalesce(c_mktsegment, 'none') AS api,
+    CASE event_type WHEN 'error' THEN 'confirmed' WHEN 'purchase' THEN 'suspected' ELSE 'possible' END AS suspicion
+  FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE event_type IN ('error', 'purchase', 'click')
+)
+"""
+
+
+@query(f"WITH {SEEDED} SELECT event_id, function, file, api, suspicion FROM seeded")
+def seed_candidates(t):
+    return seeded(t).select("event_id", "function", "file", "api", "suspicion")
+
+
+@query("""
+WITH d AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, min(event_id) OVER (PARTITION BY user_id, event_type) AS seq FROM events)
+SELECT event_id, user_id, event_type, seq FROM d WHERE n = 1
+""")
+def converge_dedup(t):
+    rows = t("events").select("event_id", "user_id", "event_type", "ts", F.col("event_id").alias("seq"))
+    return converge.deduplicated(rows, ["user_id", "event_type"], "ts", "seq").select("event_id", "user_id", "event_type", "seq")
+
+
+def severity():
+    return F.when(F.col("api") == "MACHINERY", "critical").when(F.col("api") == "BUILDING", "high").when(F.col("api") == "AUTOMOBILE", "medium").when(F.col("api") == "none", "").otherwise("low")
+
+
+SCORE = """
+0.6 * (CASE api WHEN 'MACHINERY' THEN 100 WHEN 'BUILDING' THEN 80 WHEN 'AUTOMOBILE' THEN 60 WHEN 'none' THEN 20 ELSE 40 END)
++ 25.0 * (CASE suspicion WHEN 'confirmed' THEN 1.0 WHEN 'suspected' THEN 0.7 ELSE 0.5 END) + (CASE WHEN api IN ('MACHINERY', 'BUILDING') THEN 3.0 ELSE 0.0 END)
+"""
+
+
+@query(f"""
+WITH {SEEDED}, s AS (SELECT event_id, file, event_type, ts, CAST(round({SCORE}, 6) AS DOUBLE) AS score FROM seeded)
+SELECT event_id, score, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, file, ts, event_id) AS rank FROM s
+""")
+def rank_candidates(t):
+    score = F.round(S.rank_score(severity(), F.col("suspicion")), 6)
+    return converge.ranked(seeded(t), score, "file", "ts", "event_id", ["event_type"]).select("event_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+CHAIN = ("low_value", "external", "odd_user")
+
+
+def chained(t) -> DataFrame:
+    chain = (("low_value", F.col("value") < 20), ("external", F.col("function") == "external"), ("odd_user", F.col("user_id") % 3 == 1))
+    return converge.tagged(seeded(t), chain)
+
+
+TAGGED = f"""
+{SEEDED}, tagged AS (SELECT *, CASE WHEN value < 20 THEN 'low_value' WHEN function = 'external' THEN 'external' WHEN user_id % 3 = 1 THEN 'odd_user' END AS drop_filter FROM seeded)
+"""
+
+
+@query(f"""
+WITH {TAGGED}, c AS (SELECT event_type, count(*) AS n, count(*) FILTER (drop_filter = 'low_value') AS a, count(*) FILTER (drop_filter = 'external') AS b, count(*) FILTER (drop_filter = 'odd_user') AS d FROM tagged GROUP BY 1)
+SELECT event_type, 0 AS step, 'low_value' AS filter, n AS rows_in, n - a AS rows_out FROM c
+UNION ALL SELECT event_type, 1, 'external', n - a, n - a - b FROM c UNION ALL SELECT event_type, 2, 'odd_user', n - a - b, n - a - b - d FROM c
+""")
+def filter_chain_stats(t):
+    return converge.chain_stats(chained(t), CHAIN, ["event_type"])
+
+
+@query(f"WITH {TAGGED} SELECT event_type, drop_filter, count(*) AS n, list_sort(list(event_id)) AS ids FROM tagged WHERE drop_filter IS NOT NULL GROUP BY ALL")
+def dismissed_ledger(t):
+    rows = chained(t).filter("drop_filter is not null")
+    return rows.groupBy("event_type", "drop_filter").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("ids"))
+
+
+@query(f"""
+WITH {TAGGED}, kept AS (SELECT * FROM tagged WHERE drop_filter IS NULL AND NOT EXISTS (
+    SELECT 1 FROM events g WHERE g.event_type = 'view' AND g.user_id = tagged.user_id AND tagged.ts BETWEEN g.ts AND g.ts + INTERVAL 1 HOUR)),
+d AS (SELECT *, row_number() OVER (PARTITION BY file, function, event_type ORDER BY ts, event_id) AS n FROM kept),
+s AS (SELECT *, CAST(round({SCORE}, 6) AS DOUBLE) AS score FROM d WHERE n = 1)
+SELECT event_id, event_type, file, function, suspicion, score, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, file, ts, event_id) AS rank FROM s
+""")
+def candidate_convergence(t):
+    """Seed, filter chain, interval anti-join, dedup and rank in one plan."""
+    kept = chained(t).filter("drop_filter is null").drop("drop_filter")
+    guards = t("events").filter("event_type = 'view'").select("user_id", F.col("ts").alias("scope_start"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("scope_end"))
+    kept = joins.in_scope(kept, guards, ["user_id"], "ts", "scope_start", "scope_end", "left_anti").withColumn("seq", F.col("event_id"))
+    one = converge.deduplicated(kept, ["file", "function", "event_type"], "ts", "seq")
+    score = F.round(S.rank_score(severity(), F.col("suspicion")), 6)
+    return converge.ranked(one, score, "file", "ts", "event_id", ["event_type"]).select("event_id", "event_type", "file", "function", "suspicion", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH s AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90), b AS (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90)
+SELECT e.event_id, CASE WHEN e.user_id IN (SELECT user_id FROM s) THEN 'suppressed' WHEN e.user_id IN (SELECT user_id FROM b) THEN 'baseline' ELSE 'kept' END AS outcome
+FROM events e WHERE event_type = 'purchase'
+""")
+def suppression_baseline(t):
+    e = t("events")
+    keys = lambda kind, flag: e.filter((F.col("event_type") == kind) & (F.col("value") > 90)).select("user_id", F.lit(True).alias(flag)).distinct()
+    rows = e.filter("event_type = 'purchase'").join(keys("error", "s"), "user_id", "left").join(keys("signup", "b"), "user_id", "left")
+    return rows.select("event_id", F.when(F.col("s"), "suppressed").when(F.col("b"), "baseline").otherwise("kept").alias("outcome"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url = 'http://x' OR url LIKE 'http://th%'")
+def scope_to_target(t):
+    return t("pages").filter((F.col("url") == "http://x") | F.col("url").startswith("http://th")).select("page_id", "url")
+
+
+# ---- verdicts and reports
+
+
+@query("""
+WITH o AS (SELECT doc_id, quality AS status, 'review' || toxic AS review FROM labels WHERE doc_id % 4 <> 0),
+n AS (SELECT doc_id, 1 - quality AS status FROM labels WHERE doc_id % 4 <> 1)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.status ELSE o.status END AS status, coalesce(o.review, 'none') AS review FROM o FULL JOIN n ON o.doc_id = n.doc_id
+""")
+def finding_upsert(t):
+    labels = t("labels")
+    old = labels.filter("doc_id % 4 <> 0").select("doc_id", F.col("quality").alias("status"), F.concat(F.lit("review"), F.col("toxic").cast("string")).alias("review"))
+    new = labels.filter("doc_id % 4 <> 1").select("doc_id", (1 - F.col("quality")).alias("status"))
+    return merging.upsert(old, new, ["doc_id"], ["review"], {"review": "none"})
+
+
+@query("""
+SELECT doc_id, CASE WHEN review = 'confirmed' THEN 'confirmed' WHEN review = 'dismissed' THEN 'dismissed' WHEN review = 'suspected-kept' THEN 'suspected' ELSE status END AS effective
+FROM (SELECT doc_id, CASE quality WHEN 1 THEN 'suspected' ELSE 'open' END AS status, CASE WHEN toxic = 1 THEN 'confirmed' WHEN doc_id % 3 = 0 THEN 'dismissed' WHEN doc_id % 3 = 1 THEN 'suspected-kept' ELSE '' END AS review FROM labels)
+""")
+def effective_status(t):
+    rows = t("labels").select("doc_id", F.when(F.col("quality") == 1, "suspected").otherwise("open").alias("status"), F.when(F.col("toxic") == 1, "confirmed").when(F.col("doc_id") % 3 == 0, "dismissed").when(F.col("doc_id") % 3 == 1, "suspected-kept").otherwise("").alias("review"))
+    return rows.select("doc_id", S.effective_status(F.col("status"), F.col("review")).alias("effective"))
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS latest, max(ts) AS at FROM events GROUP BY ALL")
+def latest_per_location(t):
+    return t("events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("at"))
+
+
+@query("""
+SELECT coalesce(event_type, 'TOTAL') AS event_type, count(*) AS seeds, count(*) FILTER (value > 50) AS finals, CAST(round(100.0 * count(*) FILTER (value <= 50) / count(*), 6) AS DOUBLE) AS efficiency FROM events GROUP BY ROLLUP (event_type)
+""")
+def audit_rollup(t):
+    finals = F.count(F.when(F.col("value") > 50, 1))
+    gone = F.count(F.when(F.col("value") <= 50, 1))
+    out = t("events").rollup("event_type").agg(F.count("*").alias("seeds"), finals.alias("finals"), F.round(100.0 * gone / F.count("*"), 6).alias("efficiency"))
+    return out.withColumn("event_type", F.coalesce("event_type", F.lit("TOTAL")))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+m AS (SELECT doc_id, min(pos) AS p0 FROM l WHERE regexp_matches(line, 'Licensed') GROUP BY 1)
+SELECT l.doc_id, CAST(pos AS INTEGER) AS pos, substr(line, 1, 400) AS line FROM l JOIN m ON l.doc_id = m.doc_id AND pos BETWEEN p0 - 2 AND p0 + 2
+""")
+def context_window(t):
+    """Two lines either side of the first match, cut to 400 characters: sliced from the split text, without a join."""
+    lines = F.split("text", "\n")
+    at = t("documents").filter(F.col("text").contains("Licensed")).select("doc_id", lines.alias("l"))
+    at = at.select("doc_id", "l", F.array_position(F.transform("l", lambda x: x.contains("Licensed")), True).cast("int").alias("at"))
+    start = F.greatest(F.col("at") - 2, F.lit(1))
+    own = at.select("doc_id", start.alias("start"), F.posexplode(F.slice("l", start, F.col("at") + 2 - start + 1)).alias("i", "line"))
+    return own.select("doc_id", (F.col("start") - 1 + F.col("i")).alias("pos"), F.substring("line", 1, 400).alias("line"))
+
+
+@query("""
+SELECT 'CWE-' || CAST(100 + event_id % 20 AS VARCHAR) AS rule_id, CASE WHEN value > 80 THEN 'error' WHEN value > 40 THEN 'warning' ELSE 'note' END AS level,
+  'src/' || CAST(user_id AS VARCHAR) || '.c' AS uri, CAST(event_id % 1000 + 1 AS INTEGER) AS line, 'CWE-' || CAST(100 + event_id % 20 AS VARCHAR) || ':' || event_type || ':' || CAST(event_id % 1000 + 1 AS VARCHAR) AS fingerprint
+FROM events
+""")
+def sarif_rows(t):
+    rule = F.concat(F.lit("CWE-"), (100 + F.col("event_id") % 20).cast("string"))
+    line = (F.col("event_id") % 1000 + 1).cast("int")
+    level = F.when(F.col("value") > 80, "error").when(F.col("value") > 40, "warning").otherwise("note")
+    return t("events").select(rule.alias("rule_id"), level.alias("level"), F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".c")).alias("uri"), line.alias("line"), F.concat_ws(":", rule, "event_type", line.cast("string")).alias("fingerprint"))
+
+
+@query("""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+""")
+def props_from_json(t):
+    return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""
+SELECT n_name, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name
+""")
+def readonly_sql_guard(t):
+    from .operators.sqlguard import checked
+
+    spark = t("nation").sparkSession
+    for name in ("orders", "customer", "nation"):
+        t(name).createOrReplaceTempView(name)
+    return spark.sql(checked("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name"))
