@@ -40,11 +40,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, s
     named = lambda df, p: df.select(F.col(key).alias(f"_{p}key"), *(F.col(c).alias(f"_{p}{c}") for c in others), F.lit(True).alias(f"_{p}in"))
     a, b = named(right.filter(hot), "h"), named(right.filter(~hot), "c")
     out = left.join(F.broadcast(a), left[key] == a["_hkey"], "left")
-    # a hot row looks for nothing below, and goes where its own hash says
-    out = out.withColumn("_cold", F.when(F.col("_hin"), F.lit(None).cast(kind)).otherwise(F.col(key)))
-    out = out.withColumn("_salt", F.when(F.col("_cold").isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(-1).cast("long")))
-    b = b.withColumn("_csalt", F.lit(-1).cast("long"))
-    out = out.join(b, (out["_cold"] == b["_ckey"]) & (out["_salt"] == b["_csalt"]), "left")
+    # a hot row looks for nothing below, and goes where its own hash says; as a struct the key stays one key
+    salt = F.when(F.col("_hin") | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(-1).cast("long"))
+    out = out.withColumn("_cold", F.struct(F.when(F.col("_hin"), F.lit(None).cast(kind)).otherwise(F.col(key)).alias("key"), salt.alias("salt")))
+    b = b.withColumn("_ckey", F.struct(F.col("_ckey").alias("key"), F.lit(-1).cast("long").alias("salt")))
+    out = out.join(b, out["_cold"] == b["_ckey"], "left")
     keep = [left[c] for c in left.columns]
     return out.select(*keep, *(F.when(F.col("_hin"), F.col(f"_h{c}")).otherwise(F.col(f"_c{c}")).alias(c) for c in others))
 
