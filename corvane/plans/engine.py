@@ -164,7 +164,7 @@ def scan_files(files: DataFrame, entries: Sequence[str] = ("main",)) -> Scan:
         "sizeof_pseudo_deref": yes(p["is_type_expr"] == "true"),
         "non_nullable_array_suppress": array,
         "array_oob_precedence": array & yes(F.col("oob")),
-        "call_reach": ~yes(F.col("reached")),
+        "call_reach": ~yes(F.col("reached")) & (F.col("function") != ""),
         "guard": yes(F.col("guarded")),
         "safe_function_exclude": safe,
         "memory_release": yes(F.col("memory_released")),
