@@ -88,7 +88,7 @@ def next_ids(rows: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_chars, the text's sketch, the edited text, its sketch, and the next document's sketch.
+    """doc_id, n_chars, the text's sketch, the edited text, its sketch, and the next document's sketch and id.
 
     Whole texts are shuffled once, by document; what a document gives to the one before it
     is its sketch and as many characters as that one replaces. A null text counts as empty.
@@ -102,17 +102,18 @@ def with_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFram
     order = cut(next_ids(slim))
     key = F.xxhash64("id", "tie")
     takes = order.select(F.xxhash64("next_id", "next_tie").alias("k"), F.col("next_tie").alias("tie"), key.alias("to_k"), F.col("tie").alias("to_tie"), F.floor(F.col("n") / 3).cast("int").alias("take"))
+    # both joins below read all of held's columns, so Spark computes and shuffles it once
     held = keyed.select(key.alias("k"), "tie", "id", "text", sketch(F.col("text"), k, shingle).alias("sketch")).repartition("k", "tie")
-    given = held.join(takes.hint("shuffle_hash"), ["k", "tie"], "left").select(F.col("to_k").alias("k"), F.col("to_tie").alias("tie"), F.substring("text", F.lit(1), F.col("take")).alias("piece"), F.col("sketch").alias("next_sketch"))
+    given = held.join(takes.hint("shuffle_hash"), ["k", "tie"], "left").select(F.col("to_k").alias("k"), F.col("to_tie").alias("tie"), F.substring("text", F.lit(1), F.col("take")).alias("piece"), F.col("sketch").alias("next_sketch"), F.col("id").alias("next_id"))
     if order.filter("copies > 1").limit(1).count():
         given = given.dropDuplicates(["k", "tie"])
     out = held.join(given.hint("shuffle_hash"), ["k", "tie"], "left")
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "piece")
-    out = out.select("id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), "next_sketch")
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "sketch", "edited", sketch(F.col("edited"), k, shingle).alias("edited_sketch"), "next_sketch")
+    out = out.select("id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), "next_sketch", "next_id")
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "sketch", "edited", sketch(F.col("edited"), k, shingle).alias("edited_sketch"), "next_sketch", "next_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
     got = with_edited(docs)
-    return got.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    return got.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "next_id")
