@@ -279,7 +279,7 @@ class Parser:
     def parameters(self) -> Node:
         n = self.open("parameter_list")
         self.take(n)
-        while self.i < len(self.toks) and not self.at(")"):
+        while self.i < len(self.toks) and not self.at(")", "{", ";"):
             before = self.i
             if self.at("..."):
                 n.add(self.leaf("variadic_parameter"))

@@ -20,9 +20,17 @@ from ..functions.scalars import confidence, effective_status
 from ..plans.registry import TYPES, known_cwes
 from .merging import upsert
 
-FINDINGS = T.StructType.fromDDL("id long, rule_id string, severity string, confidence double, evidence string, status string, file_path string, line_number int, function_name string, properties string, summary string, reasoning string, fix_strategy string, exception_check string, review_status string, review_reasoning string, scan_id string, created_at long")
-STATS = T.StructType.fromDDL("id long, scan_id string, vuln_type string, seed_count long, final_count long, filter_chain string, created_at long")
-FILES = T.StructType.fromDDL("path string, checksum string, loc int")
+KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema of "name type, .." without a session."""
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in (c.split() for c in columns.split(", "))])
+
+
+FINDINGS = struct("id long, rule_id string, severity string, confidence double, evidence string, status string, file_path string, line_number int, function_name string, properties string, summary string, reasoning string, fix_strategy string, exception_check string, review_status string, review_reasoning string, scan_id string, created_at long")
+STATS = struct("id long, scan_id string, vuln_type string, seed_count long, final_count long, filter_chain string, created_at long")
+FILES = struct("path string, checksum string, loc int")
 TABLES = {"findings": FINDINGS, "scan_stats": STATS, "files": FILES}
 KEY = ["scan_id", "rule_id", "file_path", "line_number", "function_name"]
 REVIEWS = ("confirmed", "dismissed", "suspected-kept")
