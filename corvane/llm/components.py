@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .shared import cut, lookup
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Joins each node's larger neighbours to the smallest of the node and its neighbours."""
+def large_star(edges: DataFrame, rows: int) -> DataFrame:
+    """Joins each node's larger neighbours to the smallest of the node and its neighbours. rows: about how many edges there are."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
-    found = lookup(both, least, "u", "degree", 2 * max(edges.count(), 1), "v")
+    found = lookup(both, least, "u", "degree", 2 * max(rows, 1), "v")
     return found.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Joins each node and its smaller neighbours to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    found = lookup(down, least, "u", "degree", max(edges.count(), 1), "v")
+    found = lookup(down, least, "u", "degree", max(rows, 1), "v")
     moved = found.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -39,8 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        now = cut(large_star(now).distinct())
-        now = cut(small_star(now).distinct())
+        now = cut(large_star(now, before[0]).distinct())
+        now = cut(small_star(now, before[0]).distinct())
         after = state(now)
         if after == before:
             break

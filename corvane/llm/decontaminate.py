@@ -137,25 +137,31 @@ def matches(block: Block, w: tk.Words, h: np.ndarray, total: np.ndarray) -> tupl
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def matched(blocks: list) -> callable:
-    def one(b) -> Block:
-        # of several blocks only one at a time is in memory
-        return b.value if len(blocks) == 1 or b._path is None else b.load_from_path(b._path)
+def loaded(b, alone: bool) -> Block:
+    """A broadcast block; of several only one at a time is in memory."""
+    return b.value if alone or b._path is None else b.load_from_path(b._path)
+
+
+def overlaps(blocks: list, texts: pa.Array) -> tuple[tk.Words, np.ndarray, list[set[str]]]:
+    """The texts' words, which of them are hit, and each text's items."""
+    w, h = words_of(texts)
+    total = tk.sums(h)
+    edge, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(len(texts))]
+    for b in blocks:
+        block = loaded(b, len(blocks) == 1)
+        start, win = matches(block, w, h, total)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + block.length[win], -1)
+        own = np.searchsorted(w.first, start, "right") - 1
+        for d, x in set(zip(own.tolist(), win.tolist(), strict=True)):
+            items[d].update(block.items[x])
+    return w, np.cumsum(edge[:-1]) > 0, items
+
 
+def matched(blocks: list) -> callable:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small_slices(batches):
-            w, h = words_of(batch.column(1))
-            total, n_docs = tk.sums(h), batch.num_rows
-            edge, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(n_docs)]
-            for b in blocks:
-                block = one(b)
-                start, win = matches(block, w, h, total)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + block.length[win], -1)
-                own = np.searchsorted(w.first, start, "right") - 1
-                for d, x in set(zip(own.tolist(), win.tolist(), strict=True)):
-                    items[d].update(block.items[x])
-            hit = np.cumsum(edge[:-1]) > 0
+            w, hit, items = overlaps(blocks, batch.column(1))
             # maximal runs of hit words, cut where documents meet
             turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
             inner = w.first[1:-1]
@@ -164,7 +170,7 @@ def matched(blocks: list) -> callable:
             run_start = np.sort(np.concatenate([np.flatnonzero(turn == 1), cuts]))
             run_end = np.sort(np.concatenate([np.flatnonzero(turn == -1), cuts]))
             own = np.searchsorted(w.first, run_start, "right") - 1
-            by = np.searchsorted(own, np.arange(n_docs + 1)).astype(np.int32)
+            by = np.searchsorted(own, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(by, pa.array((x - w.first[own]).astype(np.int32))) for x in (run_start, run_end)]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(w.counts.astype(np.int64)), pa.array(tk.per_doc(hit.astype(np.int64), w.first)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *lists], ["doc_id", "n_words", "n_hit", "items", "hit_start", "hit_end"])
 
@@ -191,6 +197,11 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, n: int = 10, shingle: i
     id. Repeated rows of docs each give a row; repeated items count once by their id. Both
     tables may be empty.
     """
+    return docs.select("doc_id", "text").mapInArrow(matched(indexed(docs, items, n, shingle, block_windows)), SCHEMA)
+
+
+def indexed(docs: DataFrame, items: DataFrame, n: int = 10, shingle: int = 3, block_windows: int = 1_000_000) -> list:
+    """Broadcast blocks of the items' windows, filed by the shingle that is rarest in docs."""
     spark: SparkSession = docs.sparkSession
     texts, shared = docs.select("text"), []
     for block in item_blocks(items, n, shingle, block_windows):
@@ -200,14 +211,19 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, n: int = 10, shingle: i
         block.prefixes({(r["width"], r["shingle"]): r["n"] for r in counts.collect()} if len(block.length) else {})
         keys.unpersist()
         shared.append(spark.sparkContext.broadcast(block))
-    return docs.select("doc_id", "text").mapInArrow(matched(shared), SCHEMA)
+    return shared
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no benchmark window, all columns."""
+    """The rows of docs that hold no benchmark window, all columns: one pass, no shuffle."""
+    blocks, at = indexed(docs, items, **options), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.small_slices(batches):
+            w, hit, _ = overlaps(blocks, batch.column(at))
+            yield batch.filter(pa.array(tk.per_doc(hit.astype(np.int64), w.first) == 0))
 
-    bad = benchmark_overlap(docs, items, **options).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op10(docs: DataFrame, items: DataFrame) -> DataFrame:
