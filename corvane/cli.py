@@ -12,6 +12,7 @@ from .plans.registry import TYPES
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="corvane")
+    p.add_argument("--version", action="version", version="corvane 0.1.0")
     p.add_argument("--store", default="corvane-store", help="folder of the verdict store")
     sub = p.add_subparsers(dest="command", required=True)
     scan = sub.add_parser("scan")
@@ -21,9 +22,13 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--baseline")
     scan.add_argument("--scan-id")
     scan.add_argument("--fail-on", choices=("confirmed", "suspected"))
-    plan = sub.add_parser("plan")
-    plan.add_argument("type", choices=sorted(TYPES))
-    plan.add_argument("path")
+    scan.add_argument("--target", help="only results below this path")
+    scan.add_argument("--context-lines", type=int, default=15)
+    sub.add_parser("index").add_argument("path")
+    for name in ("plan", "query"):
+        plan = sub.add_parser(name)
+        plan.add_argument("type", choices=sorted(TYPES))
+        plan.add_argument("path")
     rep = sub.add_parser("report")
     rep.add_argument("--write-json", help="a file of verdicts, or - for standard input")
     rep.add_argument("--scan-id")
@@ -31,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     rep.add_argument("--review-status")
     rep.add_argument("--review-reasoning", default="")
     rep.add_argument("--audit", action="store_true")
+    rep.add_argument("--output-dir", help="with --audit, where findings are kept as files")
     rep.add_argument("--status")
     sub.add_parser("db").add_argument("sql")
     sub.add_parser("schema")
@@ -54,10 +60,13 @@ def run(argv: list[str] | None = None, spark=None) -> int:
     logging.basicConfig(stream=sys.stderr, level=logging.INFO, format='{"time":"%(asctime)s","level":"%(levelname)s","message":"%(message)s"}')
     engine = Engine(spark or SparkSession.builder.appName("corvane").getOrCreate(), a.store)
     if a.command == "scan":
-        out = engine.scan(a.path, a.exclude or EXCLUDED_DIRS, a.output_dir, a.baseline, a.scan_id)
+        out = engine.scan(a.path, a.exclude or EXCLUDED_DIRS, a.output_dir, a.baseline, a.scan_id, a.target, a.context_lines)
         print(json.dumps(out))
         return engine.gate(out["scan_id"], a.fail_on) if a.fail_on else 0
-    if a.command == "plan":
+    if a.command == "index":
+        print(json.dumps(engine.index(a.path)))
+        return 0
+    if a.command in ("plan", "query"):
         engine.scan(a.path)
         for line in engine.plan(a.type).orderBy("rank").toJSON().toLocalIterator():
             print(line)
@@ -71,6 +80,8 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             engine.store.review(a.review, a.review_status or "", a.review_reasoning)
         elif a.audit:
             print(report.audit_markdown(engine.store.audit(scan_id)))
+            if a.output_dir:
+                print(json.dumps(report.reconcile(a.output_dir, engine.store.effective())))
         else:
             rows = engine.store.effective()
             for line in (rows.filter(rows["effective"] == a.status) if a.status else rows).toJSON().toLocalIterator():

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.knowledge import EXCLUDED_DIRS
-from .operators import report, sqlguard
+from .operators import closure, graph, report, sqlguard
 from .operators.store import Store, new_scan_id
 from .plans import engine as plans
+from .plans.kernel import facts as extract_facts
 from .plans.registry import TYPES
+from .sources.tree import read_tree
 
 
 class Engine:
@@ -20,19 +22,28 @@ class Engine:
         self.spark, self.store = spark, Store(spark, root)
         self.last: plans.Scan | None = None
 
-    def scan(self, path: str, exclude: Sequence[str] = EXCLUDED_DIRS, output: str | None = None, baseline: str | None = None, scan_id: str | None = None) -> dict:
-        """Scans the tree, drops what was dismissed or is in the baseline, stores counts and writes reports."""
+    def scan(self, path: str, exclude: Sequence[str] = EXCLUDED_DIRS, output: str | None = None, baseline: str | None = None, scan_id: str | None = None, target: str | None = None, context: int = report.LINES) -> dict:
+        """Scans the tree, drops what was dismissed, is in the baseline or isn't below target, stores counts and writes reports."""
         found = plans.scan(self.spark, path, exclude)
         scan_id = scan_id or new_scan_id()
         rows = self.store.suppressed(found.ranked, baseline)
+        if target:
+            rows = rows.filter((F.col("path") == "") | (F.col("path") == target) | F.col("path").startswith(target.rstrip("/") + "/"))
         self.store.add_stats(found.stats(), scan_id)
         self.store.replace("files", found.files.select("path", "checksum", "loc"))
         self.last = found
         out = {"scan_id": scan_id, "types": {r["vuln_type"]: r["n"] for r in rows.groupBy("vuln_type").agg(F.count("*").alias("n")).collect()}}
         if output:
-            out |= report.write_scan(output, scan_id, rows, found.stats(), found.ledger(), found.files)
+            out |= report.write_scan(output, scan_id, rows, found.stats(), found.ledger(), found.files, context)
         return out
 
+    def index(self, path: str, exclude: Sequence[str] = EXCLUDED_DIRS) -> dict:
+        """Reads and parses the tree: how many files, functions, events and edges it has."""
+        files = closure.cut(read_tree(self.spark, path, exclude))
+        facts = closure.cut(extract_facts(files))
+        edges = graph.edges(facts)
+        return {"files": files.count(), "records": {r[0]: r[1] for r in facts.groupBy("record").count().collect()}, "edges": {r[0]: r[1] for r in edges.groupBy("edge_type").count().collect()}, "nodes": graph.nodes(edges).count()}
+
     def plan(self, kind: str) -> DataFrame:
         """One type's results of the last scan, with their evidence."""
         if kind not in TYPES:

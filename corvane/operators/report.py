@@ -101,6 +101,44 @@ def audit_markdown(audit: DataFrame) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "-|" * len(head), *("| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows)]) + "\n"
 
 
+def summary(stats: DataFrame) -> str:
+    """One line a type, and the sum."""
+    rows = [r for r in stats.orderBy("vuln_type").collect() if r["seed_count"]]
+    out = [f"{r['vuln_type']}: {r['seed_count']} seeds, {r['passed']} passed, {r['final_count']} results" for r in rows]
+    return "\n".join([*out, f"total: {sum(r['seed_count'] for r in rows)} seeds, {sum(r['final_count'] for r in rows)} results"])
+
+
+def reconcile(folder: str, findings: DataFrame) -> dict:
+    """Makes folder/findings hold one file for each place's latest confirmed or suspected verdict, and no other.
+
+    A place is (type, file, line, function); of several rows the one with the latest time
+    counts. Run again, it changes nothing.
+    """
+    own = os.path.join(folder, "findings")
+    os.makedirs(own, exist_ok=True)
+    names = {f"CWE-{n}": t.name for t in TYPES.values() for n in (t.cwe, *t.legacy)}
+    key = ["rule_id", "file_path", "line_number", "function_name"]
+    latest = findings.groupBy(*key).agg(F.max_by(F.struct("effective", "severity", "confidence", "summary", "reasoning", "evidence", "fix_strategy"), F.struct("created_at", "id")).alias("f"))
+    wanted: dict[str, str] = {}
+    rows = latest.filter(F.col("f")["effective"].isin("confirmed", "suspected")).orderBy(*key)
+    for i, r in enumerate(rows.toLocalIterator(), 1):
+        f, kind = r["f"], names.get(r["rule_id"], r["rule_id"])
+        name = f"{i:03d}_{os.path.basename(r['file_path']).replace('.', '_')}_{r['line_number']}_{f['effective']}.md"
+        fix = f["fix_strategy"] or FIXES.get(kind, "")
+        wanted[name] = f"# {kind}: {r['function_name']}\n\n{r['file_path']}:{r['line_number']}, {f['effective']}, {f['severity']}, {r['rule_id']}\n\n{f['summary'] or f['reasoning'] or f['evidence'] or ''}\n\n{fix}\n"
+    changed = 0
+    for name in set(os.listdir(own)) - set(wanted):
+        os.remove(os.path.join(own, name))
+        changed += 1
+    for name, text in wanted.items():
+        path = os.path.join(own, name)
+        if not os.path.exists(path) or open(path, encoding="utf-8").read() != text:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+            changed += 1
+    return {"findings": len(wanted), "changed": changed}
+
+
 def write_scan(folder: str, scan_id: str, rows: DataFrame, stats: DataFrame, ledger: DataFrame, files: DataFrame, around: int = LINES) -> dict:
     """All of a scan's files into folder/scan_id on the driver's machine, and a pointer to the latest."""
     own = os.path.join(folder, scan_id)

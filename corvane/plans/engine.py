@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import knowledge as kb
 from ..functions import scalars as S
@@ -93,8 +92,9 @@ def seeds(events: DataFrame, types: Sequence[VulnType]) -> DataFrame:
     variable = F.coalesce(F.nullif(p["variable"], F.lit("")), p["expression"], F.lit(""))
     api = F.coalesce(F.nullif(p["function"], F.lit("")), p["api"], F.lit(""))
     rows = rows.select("vuln_type", "path", "function", "line", "col", variable.alias("variable"), api.alias("api"), "category", F.coalesce(F.try_element_at("tiers", F.col("category")), "suspicion").alias("suspicion"), "props")
-    order = Window.partitionBy("vuln_type").orderBy("path", "line", "col", "variable", "category", F.to_json("props"))
-    return rows.withColumn("seq", F.row_number().over(order).cast("long"))
+    # a row's place is what it says, so that no type's rows need one task to be numbered
+    place = F.struct("path", "line", "col", "variable", F.coalesce("category", F.lit("")).alias("category"), F.xxhash64(F.to_json("props")).alias("props"))
+    return rows.withColumn("seq", place).dropDuplicates(["vuln_type", "seq"])
 
 
 def flow_verdicts(rows: DataFrame, files: DataFrame, null_nodes: DataFrame, taint_nodes: DataFrame) -> DataFrame:

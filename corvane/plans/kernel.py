@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.tree import changed
+
 FACTS = "path string, record string, function string, kind string, line int, end_line int, col int, src string, dst string, note string, props map<string,string>, detector string"
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 
@@ -50,3 +52,9 @@ def facts(files: DataFrame) -> DataFrame:
     """Rows of all files; a large file is one task's work, and files are dealt evenly."""
     parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return files.select("path", "source").repartition(parts, "path").mapInPandas(extract, FACTS)
+
+
+def refreshed(old: DataFrame, stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Facts of files, where old are those of the stored ones: a file with the stored checksum isn't parsed again, a file that is gone has no rows."""
+    same = files.select("path", "checksum").join(stored.select("path", "checksum"), ["path", "checksum"]).select("path")
+    return old.join(same, "path", "left_semi").unionByName(facts(changed(files, stored)))

@@ -601,3 +601,33 @@ def readonly_sql_guard(t):
     for name in ("orders", "customer", "nation"):
         t(name).createOrReplaceTempView(name)
     return spark.sql(checked("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name"))
+
+
+# ---- C from tables: a scan whose results the tables foretell
+
+TEMPLATES = (
+    "int f{k}(int a, int b) {\n  return a / b;\n}\n\n\n",
+    "int f{k}(int a, int b) {\n  if (b == 0)\n    return 0;\n  return a / b;\n}\n",
+    "void f{k}(char *c) {\n  system(c);\n}\n\n\n",
+    "void f{k}(char *c) {\n  free(c);\n  free(c);\n}\n\n",
+    "void f{k}(char *s) {\n  char b[8];\n  strcpy(b, s);\n}\n\n",
+    "static void f{k}(char *c) {\n  system(c);\n}\n\n\n",
+)
+
+
+@query("""
+WITH f AS (SELECT p_partkey AS k, p_partkey % 6 AS kind, 'src/size_' || CAST(p_size AS VARCHAR) || '.c' AS path, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) * 6 + 1 AS start FROM part)
+SELECT 'divide-by-zero' AS vuln_type, path, 'f' || k AS function, CAST(start + 1 AS INTEGER) AS line, 'suspected' AS suspicion, 'CWE-369' AS cwe FROM f WHERE kind = 0
+UNION ALL SELECT 'injection', path, 'f' || k, CAST(start + 1 AS INTEGER), 'suspected', 'CWE-78' FROM f WHERE kind = 2
+UNION ALL SELECT 'double-free', path, 'f' || k, CAST(start + 2 AS INTEGER), 'confirmed', 'CWE-415' FROM f WHERE kind = 3
+UNION ALL SELECT 'buffer-overflow', path, 'f' || k, CAST(start + 2 AS INTEGER), 'suspected', 'CWE-787' FROM f WHERE kind = 4
+""")
+def c_scan_generated(t):
+    """A C function for each part, a file for each size, and a whole scan over them."""
+    from .plans import engine as plans
+
+    text = F.coalesce(*(F.when(F.col("p_partkey") % len(TEMPLATES) == i, F.replace(F.lit(x + "\n"), F.lit("{k}"), F.col("p_partkey").cast("string"))) for i, x in enumerate(TEMPLATES)))
+    rows = t("part").select(F.concat(F.lit("src/size_"), F.col("p_size").cast("string"), F.lit(".c")).alias("path"), F.struct("p_partkey", text.alias("text")).alias("f"))
+    files = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["text"]), "").alias("source"))
+    found = plans.scan_files(closure.cut(files.select("path", F.sha2("source", 256).alias("checksum"), S.line_count(F.col("source")).alias("loc"), "source")))
+    return found.ranked.select("vuln_type", "path", "function", "line", "suspicion", "cwe")

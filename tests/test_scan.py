@@ -10,6 +10,7 @@ from corvane import cli
 from corvane.engine import Engine
 from corvane.operators import closure, report, sqlguard
 from corvane.plans import engine as plans
+from corvane.plans import kernel
 from corvane.plans.registry import TYPES, type_of_cwe
 from corvane.sources.tree import changed, read_tree
 from corvane.streaming import watch
@@ -110,6 +111,16 @@ def test_tree_and_change_detection(spark, tree):
     assert [os.path.basename(r.path) for r in changed(files, old).collect()] == ["a.c"]
 
 
+def test_unchanged_files_keep_their_facts(spark, scan):
+    files = scan.files
+    stored = files.select("path", F.when(F.col("path").endswith("a.c"), "old").otherwise(F.col("checksum")).alias("checksum"))
+    old = scan.facts.withColumn("note", F.lit("kept"))
+    now = kernel.refreshed(old, stored, files)
+    assert now.count() == scan.facts.count()
+    kept = {r[0]: r[1] for r in now.groupBy(F.element_at(F.split("path", "/"), -1), ).agg(F.max((F.col("note") == "kept").cast("int"))).collect()}
+    assert kept == {"a.c": 0, "b.C": 1}
+
+
 def test_results(scan):
     rows = scan.ranked.collect()
     got = {(r.vuln_type, r.function, r.line) for r in rows}
@@ -168,8 +179,11 @@ def test_store_verdicts_and_audit(spark, tree, tmp_path):
     assert (again.id, again.review_status, again.summary, again.effective) == (first.id, "suspected-kept", "s", "suspected")
     audit = {r.vuln_type: r for r in engine.store.audit(sid).collect()}
     assert audit["injection"].confirmed == 1 and audit["TOTAL"].suspected == 1 and audit["TOTAL"].seed_count > 0
+    assert report.reconcile(str(tmp_path), engine.store.effective()) == {"findings": 2, "changed": 2}
+    assert report.reconcile(str(tmp_path), engine.store.effective()) == {"findings": 2, "changed": 0}
     assert engine.gate(sid, "confirmed") == 2 and engine.store.latest_scan() == sid
     engine.store.review(first.id, "dismissed")
+    assert report.reconcile(str(tmp_path), engine.store.effective())["findings"] == 1
     assert engine.store.suppressed(engine.last.ranked).filter("vuln_type = 'null-deref' and line = 13").count() == 0
     assert engine.store.suppressed(engine.last.ranked, baseline=sid).filter("function = 'run'").count() == 0
     sarif = json.loads((tmp_path / "out" / sid / "candidates.sarif").read_text())
