@@ -27,6 +27,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -287,10 +288,10 @@ def met(width: int, buckets: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, []
         for batch in batches:
-            sent_on = batch.filter(pa.compute.not_equal(batch.column(0), BLOCKS))
+            sent_on = batch.filter(pc.not_equal(batch.column(0), BLOCKS))
             if sent_on.num_rows:
                 yield sent_on
-            rows = batch.filter(pa.compute.equal(batch.column(0), BLOCKS))
+            rows = batch.filter(pc.equal(batch.column(0), BLOCKS))
             for bucket, block in zip(rows.column(1).to_pylist(), rows.column(2), strict=True):
                 if bucket != now and blocks:
                     yield from resolve(blocks)
@@ -300,8 +301,6 @@ def met(width: int, buckets: int) -> callable:
         if blocks:
             yield from resolve(blocks)
 
-    import pyarrow.compute  # noqa: F401
-
     return run
 
 

@@ -1,30 +1,13 @@
-"""Folders and joins that several operators use."""
+"""What several operators use: the shared folder, joins on skewed keys, held-out rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which the cluster shares; where it is unset, as in tests, a new local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to a table in the shared folder and read again: computed once, and kept when executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "held_out", "lookup", "shared_folder"]
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, spread: str, most: int = 1000) -> DataFrame:
