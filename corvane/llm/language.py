@@ -21,6 +21,8 @@ from .shared import held_out
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 17
+#: A Viterbi step serves all documents of a slice at once, so larger slices take fewer.
+SLICE_BYTES = 4 << 20
 #: First code points of Unicode ranges, and the script of each.
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0980, 0x0E00, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xAC00, 0xD800)
 SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Indic", "Thai", "Georgian", "Hangul", "Ethiopic", "Latin", "Greek", "Other", "Hiragana", "Katakana", "Other", "Han", "Hangul", "Other")
@@ -155,7 +157,7 @@ def trained(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = 6
 
 def labelled(model) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.small_slices(batches):
+        for batch in tk.small_slices(batches, most=SLICE_BYTES):
             langs, score, _, _ = model.value.label(batch.column(2))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -180,7 +182,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.small_slices(batches):
+        for batch in tk.small_slices(batches, most=SLICE_BYTES):
             langs, score, _, _ = model.value.label(batch.column(names.index("text")))
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, score.tolist(), strict=True)], pa.bool_()))
 

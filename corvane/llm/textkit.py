@@ -14,7 +14,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 WORD_BASE = U(0xD6E8FEB86659FD93)
-SLICE_BYTES = 4 << 20
+#: With this the tables of powers() stay at 2**21 entries.
+SLICE_BYTES = (2 << 20) - 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
