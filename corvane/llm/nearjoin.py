@@ -273,9 +273,26 @@ def near_links(docs: DataFrame) -> DataFrame:
     A pair is missed only if no band has agreed or pruning was wrong: at a likeness of 0.8,
     the least, with probabilities of 3e-6 and 1e-6.
     """
+    signed, named = near_classes(docs)
+    total = named.count()
+    least = named.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("rows"))
+    named = lookup(named, least, "component", "rows", max(total, 1), "node").select("node", "copy_of", "class_id", "copies", "links")
+
+    slim = signed.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    out = lookup(slim, named, "node", "copies", max(total, signed.count()), "doc_id")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and node, a hash that equal texts share."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.unhex(F.md5("text"))).alias("node"), "text")
+
+
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each row of docs doc_id, node and n, the number of its shingles; of each text with words node, copy_of, copies, links and component, the least node that links lead to."""
     limits = least_matches()
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.unhex(F.md5("text"))).alias("node"), "text")
-    signed = cut(keyed.mapInArrow(signatures, "doc_id long, node long, n long, sig binary"))
+    docs = keyed(docs)
+    signed = cut(docs.mapInArrow(signatures, "doc_id long, node long, n long, sig binary"))
     worded = signed.filter("n > 0")
     classes = cut(worded.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     total = classes.agg(F.count("*")).first()[0]
@@ -291,8 +308,8 @@ def near_links(docs: DataFrame) -> DataFrame:
     grouped = lookup(found, sizes, "component", "size", max(total, 1), "node")
     wanted = grouped.join(classes, "node").select("node", "component", "size", "copies", "n", "sig", F.col("copy_of").alias("doc_id"))
     # of each class the text of one document; where ids repeat, of one with this class's text
-    texts = keyed.join(wanted.hint("shuffle_hash"), ["doc_id", "node"])
-    texts = texts.dropDuplicates(["node"]) if repeats(keyed) else texts
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "node"])
+    texts = texts.dropDuplicates(["node"]) if repeats(docs, "doc_id") else texts
     tiles = together(tiled(texts.select("node", "component", "size", "copies", "n", "sig", "text"), "component", "size"), "component")
     links = cut(tiles.mapInArrow(verified(limits), "node long, links long, root long"))
 
@@ -300,24 +317,27 @@ def near_links(docs: DataFrame) -> DataFrame:
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "copy_of", "copies").join(joined, "node", "left").join(degree, "node", "left")
     named = cut(named.select("node", "copy_of", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
-    least = named.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("rows"))
-    named = lookup(named, least, "component", "rows", max(total, 1), "node").select("node", "copy_of", "class_id", "copies", "links")
-
-    slim = signed.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    out = lookup(slim, named, "node", "copies", max(total, signed.count()), "doc_id")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
+    return signed, named
 
 
-def repeats(keyed: DataFrame) -> bool:
-    """Whether some id comes twice."""
-    return bool(keyed.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+def repeats(rows: DataFrame, *key: str) -> bool:
+    """Whether some key comes twice."""
+    return bool(rows.groupBy(*key).count().filter("count > 1").limit(1).count())
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class the row with the smallest doc_id, all columns. A row whose id is null stays only if its class has no other; of repeated rows one stays."""
-    seen = near_links(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(seen.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(seen["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeats(docs.select("doc_id")) else kept
+    """Of each class the row with the smallest doc_id, all columns. A row whose id is null stays only if its class has no other; of repeated rows, those of one id and text, one stays.
+
+    A class is known by its texts, as unlike texts may share an id, or have none.
+    """
+    signed, named = near_classes(docs)
+    least = F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "node")).alias("least")
+    seen = named.groupBy("component").agg(least).select(F.col("least.copy_of").alias("_id"), F.col("least.node").alias("_node"))
+    seen = seen.unionByName(signed.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct())
+    rows = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.unhex(F.md5("text")))})
+    kept = rows.join(seen.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")), "left_semi")
+    kept = kept.dropDuplicates(["_doc", "_text"]) if repeats(signed, "doc_id", "node") else kept
+    return kept.select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -111,6 +111,17 @@ def test_one_of_each_class_stays(spark, edge_docs):
     assert sorted(kept.select("doc_id").toPandas()["doc_id"].dropna().astype(int)) == sorted(x for x in classes if x is not None)
 
 
+def test_unlike_texts_stay_under_null_and_repeated_ids(spark):
+    words = [f"v{i}" for i in range(240)]
+    a, b, c, d, e, f = (" ".join(words[k : k + 40]) for k in range(0, 240, 40))
+    # a text and itself with a z at the end are one class; 5 is the least id of two classes
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, c), (5, d), (6, d + " z"), (None, d), (7, e), (None, e), (8, f), (8, f + " z"), (None, ""), (None, None), (9, "")]
+    kept = nearjoin.one_of_each(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, src string").repartition(3))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got.pop((8, f), 0) + got.pop((8, f + " z"), 0) == 1
+    assert got == Counter([(None, a), (None, b), (5, c), (5, d), (7, e), (None, ""), (None, None), (9, "")])
+
+
 def test_posterior_limits():
     limits = dict(nearjoin.least_matches(0.8, 1e-6))
     assert limits[32] < 0.8 * 32 and limits[160] < 0.8 * 160 and limits[160] > limits[32]
