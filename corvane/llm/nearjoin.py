@@ -306,10 +306,10 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(edges)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     grouped = lookup(found, sizes, "component", "size", max(total, 1), "node")
-    wanted = grouped.join(classes, "node").select("node", "component", "size", "copies", "n", "sig", F.col("copy_of").alias("doc_id"))
-    # of each class the text of one document; where ids repeat, of one with this class's text
-    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "node"])
-    texts = texts.dropDuplicates(["node"]) if repeats(docs, "doc_id") else texts
+    wanted = grouped.join(classes, "node").select(F.col("node").alias("_node"), "component", "size", "copies", "n", "sig", F.col("copy_of").alias("_id"))
+    # of each class the text of one document; where ids repeat, or are null, of one with this class's text
+    texts = docs.dropDuplicates(["doc_id", "node"]) if repeats(signed, "doc_id", "node") else docs
+    texts = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")))
     tiles = together(tiled(texts.select("node", "component", "size", "copies", "n", "sig", "text"), "component", "size"), "component")
     links = cut(tiles.mapInArrow(verified(limits), "node long, links long, root long"))
 

@@ -104,6 +104,18 @@ def test_near_links_over_tiles(spark, monkeypatch):
     assert Counter(map(tuple, got)) == near_by_force(rows)
 
 
+def test_near_links_of_copies_without_ids(spark):
+    words = [f"v{i}" for i in range(200)]
+    a, b, c, d, e = (" ".join(words[k : k + 40]) for k in range(0, 200, 40))
+    rows = [(None, a), (None, a), (None, a + " z"), (7, b), (None, b + " z"), (None, b + " z y"), (8, c), (3, c + " z"), (4, d), (None, d), (None, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nearjoin.op6(docs).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == near_by_force(rows)
+    kept = Counter((r.doc_id, r.text) for r in nearjoin.one_of_each(docs).collect())
+    assert kept.pop((None, a), 0) + kept.pop((None, a + " z"), 0) == 1
+    assert kept == Counter([(7, b), (3, c + " z"), (4, d), (None, e)])
+
+
 def test_one_of_each_class_stays(spark, edge_docs):
     kept = nearjoin.one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
