@@ -171,6 +171,18 @@ def param_binding_positional(t):
     return words.join(params, ["conv_id", "turn", "pos"]).select("conv_id", "turn", "pos", "arg", "param")
 
 
+@query("""
+WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
+a AS (SELECT conv_id, turn, unnest(w) AS arg, generate_subscripts(w, 1) - 1 AS pos FROM w)
+SELECT a.conv_id, a.turn, CAST(a.pos AS INTEGER) AS pos, a.arg, b.arg AS param FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.pos = b.pos
+""")
+def param_binding_all(t):
+    """Every word of a turn and the next turn's word of the same position; param_binding_positional stops at four, as its SQL does."""
+    words = t("conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "arg"))
+    params = words.select("conv_id", (F.col("turn") - 1).alias("turn"), "pos", F.col("arg").alias("param"))
+    return words.join(params, ["conv_id", "turn", "pos"]).select("conv_id", "turn", "pos", "arg", "param")
+
+
 @query("""
 WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, CAST(floor(value) AS BIGINT) % 5 AS lock FROM events WHERE event_type IN ('signup', 'purchase'))
 SELECT a.user_id, h.lock AS held, a.lock AS acquired, count(*) AS n
