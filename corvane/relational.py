@@ -123,7 +123,7 @@ def call_edges_external(t):
 
 
 def user_edges(t, least: int = 1) -> DataFrame:
-    """A user leads to the next user with an event of the same type within a second, by time."""
+    """A user leads to the next user with an error event within 20 seconds, by time."""
     window = Window.partitionBy("event_type").orderBy("ts", "event_id")
     e = t("events").select("event_type", "ts", "event_id", "user_id").withColumn("dst", F.lead("user_id").over(window)).withColumn("_to", F.lead("ts").over(window))
     near = (F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 20_000_000
@@ -160,6 +160,44 @@ def graph_scc_cycles(t):
     return closure.strong_components(closure.cut(user_edges(t)))
 
 
+def typed_edges(t) -> DataFrame:
+    """A type's user leads to the next user with an event of that type within 20 seconds, by time; all types, whose graphs are separate."""
+    window = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = t("events").select("event_type", "ts", "event_id", "user_id").withColumn("dst", F.lead("user_id").over(window)).withColumn("_to", F.lead("ts").over(window))
+    near = (F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 20_000_000
+    node = lambda user: F.struct("event_type", F.col(user).alias("user_id"))
+    return e.filter(near & (F.col("user_id") != F.col("dst"))).select(node("user_id").alias("src"), node("dst").alias("dst")).distinct()
+
+
+TYPED_EDGES = """
+edges AS (
+  SELECT DISTINCT event_type, user_id AS src, dst FROM (
+    SELECT event_type, ts, user_id, lead(user_id) OVER w AS dst, lead(ts) OVER w AS to_ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
+  ) WHERE epoch_us(to_ts) - epoch_us(ts) < 20000000 AND user_id <> dst
+),
+r AS (SELECT DISTINCT event_type, src AS root, src AS node FROM edges UNION SELECT r.event_type, root, dst FROM r JOIN edges ON r.event_type = edges.event_type AND node = src)
+"""
+
+
+@query(f"WITH RECURSIVE {TYPED_EDGES} SELECT event_type, root, node FROM r")
+def graph_reach_all(t):
+    """What each node of each type's graph leads to; graph_reach_multi has a seventh of one type's nodes, as its SQL does."""
+    edges = closure.cut(typed_edges(t))
+    found = closure.reach(edges, edges.select(F.col("src").alias("root"), F.col("src").alias("node")))
+    return found.select("root.event_type", F.col("root.user_id").alias("root"), F.col("node.user_id").alias("node"))
+
+
+@query(f"""
+WITH RECURSIVE {TYPED_EDGES},
+pairs AS (SELECT a.event_type, a.root AS x, a.node AS y FROM r a JOIN r b ON a.event_type = b.event_type AND a.root = b.node AND a.node = b.root AND a.root <> a.node)
+SELECT event_type, x AS node, least(x, min(y)) AS component FROM pairs GROUP BY event_type, x
+""")
+def graph_scc_all(t):
+    """The cycles of each type's graph; graph_scc_cycles has those of one type, as its SQL does."""
+    found = closure.strong_components(closure.cut(typed_edges(t)))
+    return found.select("node.event_type", F.col("node.user_id").alias("node"), F.col("component.user_id").alias("component"))
+
+
 @query("""
 WITH a AS (SELECT conv_id, turn, unnest(w) AS arg, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations)),
 b AS (SELECT conv_id, turn, unnest(w) AS param, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations))
