@@ -422,6 +422,28 @@ def hardcoded_secret_scan(t):
     return t("documents").filter(text.rlike(SECRET)).select("doc_id", F.lower(F.regexp_extract(text, SECRET, 1)).alias("name"), F.length(F.regexp_extract(text, SECRET, 2)).alias("size"))
 
 
+@query(r"""
+WITH d AS (
+  SELECT doc_id, string_split_regex(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"') AS rest, regexp_extract_all(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 0) AS hit,
+    regexp_extract_all(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 1) AS name, regexp_extract_all(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 2) AS value
+  FROM documents
+), h AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM d)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CAST(length(array_to_string(rest[1:i], '')) + coalesce(length(array_to_string(hit[1:i - 1], '')), 0) AS INTEGER) AS start,
+  lower(name[i]) AS name, CAST(length(value[i]) AS INTEGER) AS size
+FROM h
+""")
+def hardcoded_secret_hits(t):
+    """A row for each secret: which of its document's it is, and the characters before it. hardcoded_secret_scan has each document's first, as its SQL does."""
+    all_of = lambda group: F.regexp_extract_all("text", F.lit(SECRET), F.lit(group))
+    sizes = lambda texts: F.transform(texts, F.length)
+    docs = t("documents").filter(F.col("text").rlike(SECRET))
+    docs = docs.select("doc_id", sizes(F.split("text", SECRET)).alias("rest"), sizes(all_of(0)).alias("hit"), F.transform(all_of(1), F.lower).alias("name"), sizes(all_of(2)).alias("size"))
+    docs = docs.select("doc_id", "rest", "hit", F.posexplode(F.arrays_zip("name", "size")).alias("pos", "found"))
+    total = lambda texts, n: F.aggregate(F.slice(texts, 1, n), F.lit(0), lambda a, x: a + x)
+    start = total("rest", F.col("pos") + 1) + total("hit", F.col("pos"))
+    return docs.select("doc_id", "pos", start.alias("start"), "found.name", "found.size")
+
+
 def counted_tokens(t, pattern: str) -> DataFrame:
     n = F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long")
     return t("documents").select("doc_id", n.alias("n")).filter("n > 0")

@@ -26,3 +26,10 @@ def test_reach_and_cycles_of_every_node_and_type(spark, tmp_path):
     want = [("error", 4, 4), ("error", 4, 5), *(("view", a, b) for a in (1, 2, 3) for b in (1, 2, 3))]
     assert run(spark, tmp_path, "graph_reach_all", events=events) == want
     assert run(spark, tmp_path, "graph_scc_all") == [("view", a, 1) for a in (1, 2, 3)]
+
+
+def test_every_secret_of_a_document(spark, tmp_path):
+    a, b = 'Token = "é漢1"', 'api_key="zz zz"'
+    rows = [(1, f"x {a} y\n{b}{b}"), (2, a), (3, "none"), (4, None)]
+    want = [(1, 0, 2, "token", 3), (1, 1, len(f"x {a} y\n"), "api_key", 5), (1, 2, len(f"x {a} y\n{b}"), "api_key", 5), (2, 0, 0, "token", 3)]
+    assert run(spark, tmp_path, "hardcoded_secret_hits", documents=(rows, "doc_id long, text string")) == want
