@@ -22,11 +22,11 @@ def in_scope(rows: DataFrame, scopes: DataFrame, keys: list[str], at: str, start
 
 def latest_before(rows: DataFrame, sources: DataFrame, keys: list[str], at: str, source_at: str) -> DataFrame:
     """rows with source_at of the last source at or before them, null without one: one pass in key order, no join."""
-    both = rows.withColumn("_is", F.lit(0)).withColumn("_at", F.col(at)).withColumn("_s", F.lit(None).cast(sources.schema[source_at].dataType))
-    marks = sources.select(*keys, F.col(source_at).alias("_at"), F.col(source_at).alias("_s"), F.lit(1).alias("_is"))
-    window = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.unionByName(marks, allowMissingColumns=True).withColumn(source_at, F.max("_s").over(window))
-    return seen.filter("_is = 0").select(*rows.columns, source_at)
+    both = rows.withColumn("source_mark", F.lit(0)).withColumn("source_place", F.col(at)).withColumn("source_value", F.lit(None).cast(sources.schema[source_at].dataType))
+    marks = sources.select(*keys, F.col(source_at).alias("source_place"), F.col(source_at).alias("source_value"), F.lit(1).alias("source_mark"))
+    window = Window.partitionBy(*keys).orderBy("source_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.unionByName(marks, allowMissingColumns=True).withColumn(source_at, F.max("source_value").over(window))
+    return seen.filter("source_mark = 0").select(*rows.columns, source_at)
 
 
 def absent(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,4 +40,4 @@ def present(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
+    return rows.withColumn("first_n", F.row_number().over(window)).filter("first_n = 1").drop("first_n")
