@@ -79,6 +79,8 @@ PRINTF_FORMAT = {
 NULL_TEXTS = frozenset({"NULL", "nullptr", "(void*)0", "(void *)0", "((void*)0)", "((void *)0)"})
 EXCLUDED_DIRS = ("deps", "third_party", "third-party", "vendor", "external", "node_modules", "tests", "test", "fuzzing", "contrib", "examples")
 GUARD_BOUND, MIN_KEY_SIZE, WIDEN_AFTER = 32768, 16, 3
+#: A call's result is tested by a condition at most so many lines below it.
+GUARD_WITHIN = 2
 BOUNDED_CATEGORIES = ("bounded_copy_overflow", "bounded_copy_var_size", "secure_copy_overflow", "secure_copy_var_size", "secure_constraint_violation", "secure_scanf_overflow", "secure_scanf_var_size")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,8 +13,9 @@ from ..functions import knowledge as kb
 from ..functions import scalars as S
 from ..operators import closure, converge, graph, joins
 from ..sources.tree import read_tree
+from .kernel import ACROSS, facts_again
 from .kernel import facts as extract_facts
-from .registry import TYPES, VulnType
+from .registry import DEFINITE_NULL, FRAGMENTS, NO_WAY, NULLABLE, TAINTED, TOCTOU, TYPES, VulnType
 from .verdicts import FLOW_FILTERS, RESULT, judge
 
 
@@ -35,6 +37,17 @@ class Scan:
     events: DataFrame
     candidates: DataFrame  # all seeds with drop_filter, suspicion and source_line
     ranked: DataFrame
+    null_nodes: DataFrame
+    taint_nodes: DataFrame
+
+    def summaries(self) -> DataFrame:
+        """For each function of the program: whether it may return null or taint, and which parameters are tainted."""
+        names = self.facts.filter("record = 'function'").select("function").distinct()
+        flag = lambda nodes, name: nodes.filter(F.col("node").startswith("ret:")).select(F.substring("node", 5, 1 << 20).alias("function"), F.lit(True).alias(name))
+        params = self.taint_nodes.filter(F.col("node").startswith("par:")).select(F.split_part("node", F.lit(":"), F.lit(2)).alias("function"), F.split_part("node", F.lit(":"), F.lit(3)).cast("int").alias("at"))
+        params = params.groupBy("function").agg(F.array_join(F.sort_array(F.collect_set("at")), ",").alias("tainted_params"))
+        out = names.join(flag(self.null_nodes, "return_nullable"), "function", "left").join(flag(self.taint_nodes, "return_tainted"), "function", "left").join(params, "function", "left")
+        return out.na.fill(False, ["return_nullable", "return_tainted"]).na.fill("", ["tainted_params"])
 
     def kept(self) -> DataFrame:
         return self.ranked
@@ -43,8 +56,13 @@ class Scan:
         return self.candidates.filter("drop_filter is not null").select("vuln_type", "path", "function", "variable", "line", F.col("drop_filter").alias("filter"))
 
     def ledger(self) -> DataFrame:
-        """Dropped candidates by type and filter."""
-        return self.dropped().groupBy("vuln_type", "filter").agg(F.count("*").alias("dropped"), F.sort_array(F.collect_list(F.struct("path", "line", "function", "variable"))).alias("rows"))
+        """How many candidates each filter has dropped of each type; dropped() has them, a row each."""
+        return self.dropped().groupBy("vuln_type", "filter").agg(F.count("*").alias("dropped"))
+
+    def errors(self) -> DataFrame:
+        """(stage, path, error) of files that couldn't be read and filters that couldn't decide."""
+        read = self.facts.filter("record = 'error'").select(F.lit("parse").alias("stage"), "path", F.col("note").alias("error"))
+        return read.unionByName(self.candidates.filter("error is not null").select(F.lit("filter").alias("stage"), "path", "error"))
 
     def stats(self) -> DataFrame:
         """Seeds, rows that pass the chain, and results for every type."""
@@ -54,9 +72,27 @@ class Scan:
         return types.join(seeds, "vuln_type", "left").join(final, "vuln_type", "left").na.fill(0, ["seed_count", "passed", "final_count"])
 
 
-def program_events(facts: DataFrame, null_nodes: DataFrame) -> DataFrame:
-    """The files' events, less results of functions known not to be null, plus those that need the whole program."""
-    e = facts.filter("record = 'event'").select("path", "function", F.col("kind").alias("event_type"), "line", "col", "props", "detector")
+def outside(facts: DataFrame) -> DataFrame:
+    """(path, outside): for each file what it must know of others, as JSON. Deeds of functions it calls and doesn't have, and how often other files start its functions as threads."""
+    functions = facts.filter("record = 'function'").select("path", "function").distinct()
+    deeds = facts.filter("record = 'deed'").groupBy("function").agg(F.sort_array(F.collect_set(F.struct("kind", "col", "src", "note"))).alias("deeds"))
+    calls = facts.filter("record = 'edge' and kind = 'CALL'").select("path", F.col("dst").alias("function")).distinct()
+    far = calls.join(functions, ["path", "function"], "left_anti").join(deeds, "function")
+    far = far.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("function", "deeds"))).alias("deeds"))
+    starts = facts.filter("record = 'thread'").select(F.col("path").alias("starter"), F.col("src").alias("function"), "col")
+    started = starts.join(functions, "function").filter("starter <> path").groupBy("path", "function").agg(F.sum("col").alias("n"))
+    started = started.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("function", "n"))).alias("threads"))
+    return far.join(started, "path", "full").select("path", F.to_json(F.struct("deeds", "threads")).alias("outside"))
+
+
+def program_events(facts: DataFrame, null_nodes: DataFrame, again: DataFrame, known: DataFrame) -> DataFrame:
+    """The files' events, less results of functions known not to be null, plus those that need the whole program.
+
+    again has the events of ACROSS anew for the files in known, which replace their first ones.
+    """
+    first = facts.filter("record = 'event'")
+    first = first.join(known.select("path", F.explode(F.array(*map(F.lit, ACROSS))).alias("detector")), ["path", "detector"], "left_anti")
+    e = first.unionByName(again.filter("record = 'event'")).select("path", "function", F.col("kind").alias("event_type"), "line", "col", "props", "detector")
     functions = facts.filter("record = 'function'").select(F.col("function").alias("callee"), F.col("kind").alias("return_type"), (F.col("props")["pointer"] == "true").alias("pointer"))
     nullable = null_nodes.filter(F.col("node").startswith("ret:")).select(F.substring("node", 5, 1 << 20).alias("callee"), F.lit(True).alias("nullable"))
     known = functions.groupBy("callee").agg(F.bool_and(F.col("return_type").isin(*sorted(kb.NEVER_NULL_TYPES)) & ~F.col("pointer")).alias("never")).join(nullable, "callee", "left").select("callee", F.coalesce("nullable", F.lit(False)).alias("nullable"), "never")
@@ -97,7 +133,7 @@ def seeds(events: DataFrame, types: Sequence[VulnType]) -> DataFrame:
     return rows.withColumn("seq", place).dropDuplicates(["vuln_type", "seq"])
 
 
-def flow_verdicts(rows: DataFrame, files: DataFrame, null_nodes: DataFrame, taint_nodes: DataFrame) -> DataFrame:
+def flow_verdicts(rows: DataFrame, files: DataFrame, null_nodes: DataFrame, taint_nodes: DataFrame, known: DataFrame) -> DataFrame:
     """(vuln_type, seq, filter, keep, confirmed, source_line, error) of the filters that follow a function's flow."""
     spark = rows.sparkSession
     wanted = spark.createDataFrame([(t.name, f) for t in TYPES.values() for f in t.filters if f in FLOW_FILTERS], "vuln_type string, filter string")
@@ -115,7 +151,8 @@ def flow_verdicts(rows: DataFrame, files: DataFrame, null_nodes: DataFrame, tain
     program = by_file.join(files.select("path", "source"), "path")
     for part in (of(null_nodes, "ret:", "nullable"), of(taint_nodes, "ret:", "tainted"), of(taint_nodes, "par:", "params")):
         program = program.join(part, "path", "left")
-    got = program.select("path", "source", "candidates", "nullable", "tainted", "params").mapInPandas(judge, RESULT)
+    program = program.join(known, "path", "left")
+    got = program.select("path", "source", "candidates", "nullable", "tainted", "params", "outside").mapInPandas(judge, RESULT)
     keys = rows.select("vuln_type", "seq", F.xxhash64("vuln_type", "seq").alias("k"))
     return keys.join(got.withColumnRenamed("seq", "k"), "k").drop("k")
 
@@ -125,12 +162,14 @@ def scan(spark: SparkSession, root: str, exclude: Sequence[str] = kb.EXCLUDED_DI
     return scan_files(closure.cut(read_tree(spark, root, exclude)), entries)
 
 
-def scan_files(files: DataFrame, entries: Sequence[str] = ("main",)) -> Scan:
-    """All stages over files (path, source)."""
-    facts = closure.cut(extract_facts(files))
+def scan_files(files: DataFrame, entries: Sequence[str] = ("main",), facts: DataFrame | None = None) -> Scan:
+    """All stages over files (path, source). facts: those of the files, where they are known already."""
+    if facts is None:
+        facts = closure.cut(extract_facts(files))
     null_nodes, taint_nodes = closure.cut(fixpoint(facts, "null")), closure.cut(fixpoint(facts, "taint"))
     edges = closure.cut(graph.edges(facts))
-    events = closure.cut(program_events(facts, null_nodes))
+    known = closure.cut(outside(facts))
+    events = closure.cut(program_events(facts, null_nodes, closure.cut(facts_again(files, known)), known))
     rows = closure.cut(seeds(events, list(TYPES.values())))
 
     # what the relational filters ask, each joined once for all types
@@ -148,9 +187,11 @@ def scan_files(files: DataFrame, entries: Sequence[str] = ("main",)) -> Scan:
     threads = rows.filter("vuln_type = 'race-condition'").select("vuln_type", "seq", "variable", F.explode(F.split(F.coalesce(F.col("props")["thread_functions"], F.lit("")), ",")).alias("thread"))
     writes, reads = F.sum(F.col("note").contains("write").cast("int")), F.count("*")
     shared = threads.join(access, ["thread", "variable"]).groupBy("vuln_type", "seq").agg(((writes >= 1) & (reads >= 2)).alias("shared"))
-    both = closure.mutual(edges.filter("edge_type = 'LOCK_ORDER'").select("src", "dst")).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(F.col("p.a").alias("mutex_a"), F.col("p.b").alias("mutex_b"), F.lit(True).alias("mutual"))
+    order = edges.filter("edge_type = 'LOCK_ORDER'").select("src", "dst")
+    asked = rows.filter("vuln_type = 'deadlock'").select(F.col("props")["mutex_a"].alias("a"), F.col("props")["mutex_b"].alias("b")).distinct()
+    both = closure.mutual(asked, order).select(F.col("a").alias("mutex_a"), F.col("b").alias("mutex_b"), F.lit(True).alias("mutual"))
 
-    flow = flow_verdicts(rows, files, null_nodes, taint_nodes)
+    flow = flow_verdicts(rows, files, null_nodes, taint_nodes, known)
     flow = flow.groupBy("vuln_type", "seq").agg(F.map_from_entries(F.collect_list(F.struct("filter", "keep"))).alias("keeps"), F.max("confirmed").alias("sure"), F.max("source_line").alias("source_line"), F.max("error").alias("error"))
     c = rows.withColumns({"mutex_a": F.col("props")["mutex_a"], "mutex_b": F.col("props")["mutex_b"]})
     c = c.join(reached, "function", "left").join(released("MEMORY_RELEASE", "memory_released"), place, "left").join(released("RESOURCE_RELEASE", "resource_released"), place, "left").join(moved, place, "left").join(accesses, ["path", "line"], "left")
@@ -177,13 +218,13 @@ def scan_files(files: DataFrame, entries: Sequence[str] = ("main",)) -> Scan:
     sure = yes(F.col("sure")) | yes(F.col("shared")) | yes(F.col("mutual"))
     suspicion = F.when(sure & (F.col("suspicion") == "suspected"), "confirmed").otherwise(F.col("suspicion"))
     candidates = closure.cut(c.select("vuln_type", "path", "function", "line", "col", "variable", "api", "category", suspicion.alias("suspicion"), F.coalesce("source_line", F.lit(0)).alias("source_line"), yes(F.col("sure")).alias("definite"), "props", "seq", first.alias("drop_filter"), "error"))
-    return Scan(files, facts, edges, graph.nodes(edges), events, candidates, rank(converged(candidates.filter("drop_filter is null"))))
+    return Scan(files, facts, edges, graph.nodes(edges), events, candidates, closure.cut(rank(converged(candidates.filter("drop_filter is null")))), null_nodes, taint_nodes)
 
 
 def converged(rows: DataFrame) -> DataFrame:
     """One row for each key of its type, that of the least line, at the place of the first."""
     parts = F.coalesce(*(F.when(F.col("vuln_type") == t.name, F.concat_ws("\x01", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in t.key))) for t in TYPES.values()))
-    return converge.deduplicated(rows.withColumn("_key", parts), ["vuln_type", "_key"], "line", "seq").drop("_key")
+    return converge.deduplicated(rows.withColumn("converge_key", parts), ["vuln_type", "converge_key"], "line", "seq").drop("converge_key")
 
 
 def rank(rows: DataFrame) -> DataFrame:
@@ -194,13 +235,31 @@ def rank(rows: DataFrame) -> DataFrame:
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """Each result's fragments: where it comes from, what is done, under which condition."""
+    """Each result's fragments (type, role, detail): what its type says of the sink, the way, and the source where one is known.
+
+    A result that isn't reachable from an entry has been dropped, so the way holds for all.
+    """
     fragment = lambda kind, role, detail: F.struct(F.lit(kind).alias("type"), F.lit(role).alias("role"), detail.alias("detail"))
+    names = {"function": F.col("function"), "line": F.col("line").cast("string"), "variable": F.col("variable"), "api": F.col("api")}
+
+    def told(text: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", text)
+        return F.concat(*(names[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x))
+
+    def own(kind: str) -> Column:
+        what, role, text = FRAGMENTS[kind]
+        out = fragment(what, role, told(text))
+        if kind == "race-condition":
+            return F.when(F.col("category") == "toctou", fragment("toctou", "sink", told(TOCTOU))).otherwise(out)
+        if kind == "null-deref":
+            source = F.when(F.col("definite"), fragment("definite_null", "condition", told(DEFINITE_NULL)))
+            return F.coalesce(source, F.when(F.col("source_line") > 0, fragment("nullable_source", "source", told(NULLABLE))), out)
+        return out
+
+    of = lambda kinds, x: F.when(F.col("vuln_type").isin(*kinds), x)
     parts = F.array(
-        F.when(F.col("source_line") > 0, fragment("flow_source", "source", F.format_string("line %d", "source_line"))),
-        fragment("event", "sink", F.format_string("%s at line %d", F.coalesce("category", "vuln_type"), F.col("line"))),
-        F.when(F.col("props")["expression"].isNotNull(), fragment("expression", "path", F.col("props")["expression"])),
-        F.when(F.col("api") != "", fragment("api", "sink", F.col("api"))),
-        F.when(F.col("definite"), fragment("definite", "condition", F.lit("on every path"))),
+        F.coalesce(*(F.when(F.col("vuln_type") == k, own(k)) for k in FRAGMENTS)),
+        F.when(~F.col("vuln_type").isin(*NO_WAY), fragment("call_path", "path", told("function {function} can be reached from an entry"))),
+        of(TAINTED, F.when(F.col("source_line") > 0, fragment("taint_source", "source", told("a value from outside reaches the call at line {line}")))),
     )
     return rows.withColumn("evidence", F.filter(parts, lambda x: x.isNotNull()))

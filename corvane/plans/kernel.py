@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 
 def rows_of(path: str, source: str) -> Iterator[dict]:
     from . import summaries
-    from .detect import File, declared_name, is_pointer
+    from .detect import DETECTORS, File, declared_name, is_pointer
 
     file = File.read(path, source)
     for f in file.functions:
@@ -26,8 +27,12 @@ def rows_of(path: str, source: str) -> Iterator[dict]:
                     heap = any(a in d.text for a in ("malloc", "calloc", "realloc"))
                     base = next((x.text for x in d.children if x.field == "type"), "")
                     yield {"record": "variable", "function": f.name, "kind": f"{base}*", "line": d.line, "src": declared_name(c), "note": "heap" if heap else "stack"}
-    for name, kind, f, line, col, props in file.events():
-        yield {"record": "event", "function": f.name, "kind": kind, "line": line, "col": col, "props": props, "detector": name}
+    yield from event_rows(file, DETECTORS)
+    for name, own in file.deeds.items():
+        for kind, at, below, how in sorted(own):
+            yield {"record": "deed", "function": name, "kind": kind, "col": at, "src": below, "note": how}
+    for target, n in file.threads.items():
+        yield {"record": "thread", "src": target, "col": n}
     for kind, f, src_kind, src, dst_kind, dst, line, note in summaries.graph_edges(file):
         yield {"record": "edge", "function": f.name, "kind": kind, "line": line, "src": src, "dst": dst, "note": note, "props": {"src_kind": src_kind, "dst_kind": dst_kind}}
     for kind, edges in (("null", summaries.null_edges), ("taint", summaries.taint_edges)):
@@ -35,23 +40,58 @@ def rows_of(path: str, source: str) -> Iterator[dict]:
             yield {"record": "summary", "kind": kind, "src": src, "dst": dst}
 
 
-def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, source in zip(batch["path"], batch["source"], strict=True):
-            try:
-                rows = [{"path": path, **r} for r in rows_of(path, source or "")]
-            except Exception as e:  # one file that can't be read doesn't end the scan: it is reported
-                rows = [{"path": path, "record": "error", "note": f"{type(e).__name__}: {e}"[:500]}]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            for c in ("line", "end_line", "col"):
-                out[c] = out[c].astype("Int32")
-            yield out.astype(object).where(out.notna(), None)
+def event_rows(file, names) -> Iterator[dict]:
+    for name, kind, f, line, col, props in file.events(names):
+        yield {"record": "event", "function": f.name, "kind": kind, "line": line, "col": col, "props": props, "detector": name}
+
+
+#: Detectors whose events depend on functions of other files.
+ACROSS = ("memory_leak", "uninit_variable", "use_after_free", "double_free", "race_condition")
+
+
+def tell(file, outside: str | None) -> None:
+    """Gives a file what is known of others, as JSON: {"deeds": [{function, deeds: [..]}], "threads": [{function, n}]}."""
+    known = json.loads(outside) if outside else {}
+    file.outside = {x["function"]: {(d["kind"], int(d["col"]), d.get("src", ""), d.get("note", "")) for d in x["deeds"]} for x in known.get("deeds") or ()}
+    file.outside_threads = {x["function"]: int(x["n"]) for x in known.get("threads") or ()}
+
+
+def rows_again(path: str, source: str, outside: str) -> Iterator[dict]:
+    from .detect import File
+
+    file = File.read(path, source)
+    tell(file, outside)
+    yield from event_rows(file, ACROSS)
+
+
+def extractor(rows_of_file, *columns: str):
+    """A pass over batches of files; rows_of_file takes a path and the columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, *given in zip(batch["path"], *(batch[c] for c in columns), strict=True):
+                try:
+                    rows = [{"path": path, **r} for r in rows_of_file(path, *(x or "" for x in given))]
+                except Exception as e:  # one file that can't be read doesn't end the scan: it is reported
+                    rows = [{"path": path, "record": "error", "note": f"{type(e).__name__}: {e}"[:500]}]
+                out = pd.DataFrame(rows, columns=COLUMNS)
+                for c in ("line", "end_line", "col"):
+                    out[c] = out[c].astype("Int32")
+                yield out.astype(object).where(out.notna(), None)
+
+    return run
 
 
 def facts(files: DataFrame) -> DataFrame:
     """Rows of all files; a large file is one task's work, and files are dealt evenly."""
     parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return files.select("path", "source").repartition(parts, "path").mapInPandas(extract, FACTS)
+    return files.select("path", "source").repartition(parts, "path").mapInPandas(extractor(rows_of, "source"), FACTS)
+
+
+def facts_again(files: DataFrame, outside: DataFrame) -> DataFrame:
+    """Events of the detectors in ACROSS, for the files that outside (path, outside) has something for."""
+    rows = files.select("path", "source").join(outside, "path")
+    return rows.mapInPandas(extractor(rows_again, "source", "outside"), FACTS)
 
 
 def refreshed(old: DataFrame, stored: DataFrame, files: DataFrame) -> DataFrame:

@@ -77,6 +77,36 @@ TYPES: dict[str, VulnType] = {
 }
 
 
+# Evidence: the fragment of each type, its role, and what it says.
+FRAGMENTS: dict[str, tuple[str, str, str]] = {
+    "null-deref": ("dereference", "sink", "{variable} is followed at line {line}"),
+    "buffer-overflow": ("buffer_access", "sink", "{function} writes to a buffer at line {line}"),
+    "memory-leak": ("memory_alloc", "source", "{function} allocates at line {line}"),
+    "injection": ("unsafe_call", "sink", "{function} passes text to an interpreter at line {line}"),
+    "resource-leak": ("resource_acquire", "source", "{function} acquires a resource at line {line}"),
+    "uninit": ("uninit_use", "sink", "{function} uses {variable} before it has a value, at line {line}"),
+    "use-after-free": ("use_after_free", "sink", "{function} uses {variable} after it is freed, at line {line}"),
+    "double-free": ("double_free", "sink", "{function} frees {variable} again at line {line}"),
+    "format-string": ("format_string", "sink", "{function} formats by a text that is no literal, at line {line}"),
+    "integer-overflow": ("integer_overflow", "sink", "a size in {function} can overflow at line {line}"),
+    "race-condition": ("data_race", "sink", "{function} uses shared {variable} without a common lock, at line {line}"),
+    "hardcoded-secret": ("hardcoded_secret", "sink", "{function} holds a secret at line {line}"),
+    "deadlock": ("deadlock", "sink", "{function} takes locks in a circle at line {line}"),
+    "crypto-misuse": ("crypto_misuse", "sink", "{function} uses weak cryptography at line {line}"),
+    "out-of-bounds": ("out_of_bounds", "sink", "{function} reads past a bound at line {line}"),
+    "divide-by-zero": ("divide_by_zero", "sink", "{function} may divide by zero at line {line}"),
+    "unchecked-return": ("unchecked_return", "sink", "{function} doesn't test the result of {api} at line {line}"),
+    "path-traversal": ("path_traversal", "sink", "{api} takes a path that is no literal, at line {line}"),
+    "sizeof-misuse": ("sizeof_misuse", "sink", "{function} takes the size of the pointer {variable} at line {line}"),
+    "signed-compare": ("signed_compare", "sink", "{function} compares an unsigned value with zero or less at line {line}"),
+}
+TOCTOU = "{function} tests a path and uses it later, from line {line}"
+DEFINITE_NULL = "{variable} is null on every way to line {line}"
+NULLABLE = "{variable} may have become null before line {line}"
+#: Types that say nothing of the way to them, and those that may have a source outside the program.
+NO_WAY, TAINTED = ("hardcoded-secret", "deadlock"), ("injection", "format-string", "path-traversal")
+
+
 def type_of_cwe(cwe: str) -> str | None:
     """The type of CWE-n or n, legacy numbers too."""
     n = int(str(cwe).upper().removeprefix("CWE-"))

@@ -11,6 +11,7 @@ import pandas as pd
 from ..functions import knowledge as kb
 from . import summaries
 from .detect import File, Function
+from .kernel import tell
 from .flow import Effects, Flow, Ranges, bare, integer, key, root_of
 
 
@@ -117,10 +118,22 @@ class Judge:
         if c["props"].get("origin") != "stack_uninit":
             return True, False, 0
         flow = self.uninit_flow()
-        if not flow.reaching(c["variable"], c["line"]):
+        if not flow.reaching(c["variable"], c["line"]) or self.covered(c["variable"], c["line"]):
             return False, False, 0
         return True, flow.always(c["variable"], c["line"]), flow.source_line(c["variable"], c["line"])
 
+    def covered(self, place: str, line: int) -> bool:
+        """Whether an earlier assignment is compiled and run whenever the line is: it stands under some of the same conditions, and under no other. Only where the preprocessor decides; the statement graph has the rest."""
+        compiled, run = conditions(self.f, line)
+        if not compiled:
+            return False
+        for p, left, _ in self.f.assigned:
+            if root_of(p) == place and left.line < line:
+                own_compiled, own_run = conditions(self.f, left.line)
+                if own_compiled and own_compiled <= compiled and own_run <= run:
+                    return True
+        return False
+
     def taint_source(self, c: dict) -> tuple[bool, bool, int]:
         text = c["props"].get("path") or c["props"].get("format_arg") or c["variable"] or ""
         if not re.fullmatch(r"[A-Za-z_]\w*(?:(?:->|\.)\w+|\[[^\]]*\])*", re.sub(r"\s+", "", text)):
@@ -149,6 +162,19 @@ class Judge:
         return not (re.fullmatch(r"[A-Za-z_]\w*", d) and integer(d) is None and self.ranges().nonzero(d, c["line"])), False, 0
 
 
+def conditions(f: Function, line: int) -> tuple[set[str], set[str]]:
+    """What must hold for a line of the function to be compiled, and the control statements that it stands in. In an alternative the contrary holds."""
+    out: tuple[set[str], set[str]] = set(), set()
+    for which, kinds in enumerate((("preproc_if", "preproc_ifdef", "preproc_elif"), ("if_statement", "while_statement", "for_statement", "do_statement", "switch_statement"))):
+        for kind in kinds:
+            for n in f.nodes[kind]:
+                if n.line <= line <= n.end_line:
+                    other = n.child("alternative")
+                    name = f"{kind}@{n.line}" if which else " ".join(n.text.split("\n")[0].split())
+                    out[which].add(f"not {name}" if other is not None and other.line <= line <= other.end_line else name)
+    return out
+
+
 def from_null(call, file: File, nullable: set[str]) -> bool:
     from .detect import call_name
 
@@ -160,11 +186,12 @@ RESULT = "seq long, filter string, keep boolean, confirmed boolean, source_line
 
 
 def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of (path, source, candidates as JSON, nullable, tainted, params) to verdicts. A filter that fails keeps, and says why."""
+    """Rows of (path, source, candidates as JSON, nullable, tainted, params, outside as JSON) to verdicts. A filter that fails keeps, and says why."""
     for batch in batches:
         for r in batch.itertuples(index=False):
             out = []
             file = File.read(r.path, r.source)
+            tell(file, r.outside)
             by = {f.name: f for f in file.functions}
             judges: dict[str, Judge] = {}
             sets = [set(x if x is not None else ()) for x in (r.nullable, r.tainted, r.params)]
