@@ -13,18 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import scalars as S
-from .operators import closure, converge, joins, merging
+from .operators import closure, converge, joins, merging, ordered
+from .sources import tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+class Tables:
+    """The driver's tables by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
 def query(sql: str | None = None):
-    """Registers a function of a table loader, and its SQL."""
+    """Registers a function of Tables, and its SQL."""
 
-    def register(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
+    def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return build(Tables(spark, sf_dir))
 
         QUERIES[build.__name__] = run
         if sql:
@@ -42,32 +53,33 @@ def content_hash_facts(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("checksum"), S.line_count(F.col("text")).alias("loc"))
 
 
-@query("""
-WITH o AS (SELECT doc_id, md5(text) AS c FROM documents WHERE doc_id % 3 <> 0),
-n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN md5(text || '!') ELSE md5(text) END AS c FROM documents WHERE doc_id % 3 <> 1)
-SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'gone' WHEN o.c = n.c THEN 'unchanged' ELSE 'changed' END AS change
-FROM o FULL JOIN n ON o.doc_id = n.doc_id
-""")
-def incremental_diff(t):
-    docs = t("documents")
-    old = docs.filter("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("c"))
-    new = docs.filter("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("c"))
-    return merging.changes(old, new, "doc_id", "c")
-
-
 EXCLUDED = ("de", "es", "blog", "tests", "vendor")
 
 
 @query("""
+WITH p AS (SELECT page_id, url, string_split(split_part(url, '?', 1), '/') AS s FROM pages)
 SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(split_part(url, '://', 2), '/', 2) AS first_segment
-FROM pages WHERE NOT list_has_any(list_transform(string_split(split_part(url, '?', 1), '/'), lambda s: lower(s)), ['de', 'es', 'blog', 'tests', 'vendor'])
+FROM p WHERE NOT list_has_any(list_transform(s[1:len(s) - 1], lambda x: lower(x)), ['de', 'es', 'blog', 'tests', 'vendor'])
 """)
 def source_exclude_filter(t):
     url = F.col("url")
-    segments = F.split(F.split_part(url, F.lit("?"), F.lit(1)), "/")
     rest = F.split_part(url, F.lit("://"), F.lit(2))
     part = lambda n: F.split_part(rest, F.lit("/"), F.lit(n))
-    return t("pages").filter(~F.exists(segments, lambda s: F.lower(s).isin(*EXCLUDED))).select("page_id", part(1).alias("host"), part(2).alias("first_segment"))
+    return t("pages").filter(~tree.excluded(F.split_part(url, F.lit("?"), F.lit(1)), EXCLUDED)).select("page_id", part(1).alias("host"), part(2).alias("first_segment"))
+
+
+@query("""
+WITH o AS (SELECT doc_id, md5(text) AS c FROM documents WHERE lang <> 'de'),
+n AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN md5(text || '!') ELSE md5(text) END AS c FROM documents WHERE lang <> 'es')
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'gone' WHEN o.c = n.c THEN 'unchanged' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.doc_id = n.doc_id
+""")
+def incremental_diff(t):
+    """German documents are new, Spanish ones gone, French ones changed."""
+    docs = t("documents")
+    old = docs.filter("lang <> 'de'").select("doc_id", F.md5("text").alias("c"))
+    new = docs.filter("lang <> 'es'").select("doc_id", F.when(F.col("lang") == "fr", F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("c"))
+    return merging.changes(old, new, "doc_id", "c")
 
 
 @query("""
@@ -90,11 +102,6 @@ def list_by_type(t):
     return t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).orderBy("user_id", "event_type")
 
 
-@query("SELECT event_type, count(*) AS n, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS latest_id FROM events GROUP BY event_type")
-def latest_scan_id(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_id"))
-
-
 # ---- graph
 
 
@@ -110,112 +117,68 @@ def insert_distinct_nodes(t):
 
 
 @query("""
-WITH f AS (SELECT p_name, max(p_partkey) AS k FROM part WHERE p_partkey % 4 <> 0 GROUP BY p_name)
+WITH f AS (SELECT p_name, max(p_partkey) AS k FROM part WHERE p_size > 10 GROUP BY p_name)
 SELECT l_orderkey, l_linenumber, coalesce(k, 0) AS callee, k IS NULL AS is_external
 FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN f ON part.p_name = f.p_name
 """)
 def call_edges_external(t):
-    parts = t("part").select("p_partkey", "p_name")
+    parts = t("part").select("p_partkey", "p_name", "p_size")
     # the last of equal names wins
-    functions = parts.filter("p_partkey % 4 <> 0").groupBy("p_name").agg(F.max("p_partkey").alias("k"))
+    functions = parts.filter("p_size > 10").groupBy("p_name").agg(F.max("p_partkey").alias("k"))
     calls = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return calls.join(functions, "p_name", "left").select("l_orderkey", "l_linenumber", F.coalesce("k", F.lit(0)).alias("callee"), F.col("k").isNull().alias("is_external"))
 
 
-def user_edges(t, least: int = 1) -> DataFrame:
-    """A user leads to the next user with an error event within 20 seconds, by time."""
-    window = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = t("events").select("event_type", "ts", "event_id", "user_id").withColumn("dst", F.lead("user_id").over(window)).withColumn("_to", F.lead("ts").over(window))
-    near = (F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 20_000_000
-    return e.filter(near & (F.col("user_id") != F.col("dst")) & (F.col("event_type") == "error")).select(F.col("user_id").alias("src"), "dst").distinct()
-
-
-USER_EDGES = """
-edges AS (
-  SELECT DISTINCT user_id AS src, dst FROM (
-    SELECT event_type, ts, user_id, lead(user_id) OVER w AS dst, lead(ts) OVER w AS to_ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
-  ) WHERE event_type = 'error' AND epoch_us(to_ts) - epoch_us(ts) < 20000000 AND user_id <> dst
-)
-"""
-
-
-@query(f"""
-WITH RECURSIVE {USER_EDGES}, entries AS (SELECT DISTINCT src AS node FROM edges WHERE src % 7 = 0),
-r AS (SELECT node AS root, node FROM entries UNION SELECT root, dst FROM r JOIN edges ON node = src)
-SELECT root, node FROM r
-""")
-def graph_reach_multi(t):
-    edges = closure.cut(user_edges(t))
-    entries = edges.filter("src % 7 = 0").select(F.col("src").alias("root"), F.col("src").alias("node"))
-    return closure.reach(edges, entries)
-
-
-@query(f"""
-WITH RECURSIVE {USER_EDGES},
-r AS (SELECT DISTINCT src AS root, src AS node FROM edges UNION SELECT root, dst FROM r JOIN edges ON node = src),
-pairs AS (SELECT a.root AS x, a.node AS y FROM r a JOIN r b ON a.root = b.node AND a.node = b.root AND a.root <> a.node)
-SELECT x AS node, least(x, min(y)) AS component FROM pairs GROUP BY x
-""")
-def graph_scc_cycles(t):
-    return closure.strong_components(closure.cut(user_edges(t)))
-
-
 def typed_edges(t) -> DataFrame:
-    """A type's user leads to the next user with an event of that type within 20 seconds, by time; all types, whose graphs are separate."""
-    window = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = t("events").select("event_type", "ts", "event_id", "user_id").withColumn("dst", F.lead("user_id").over(window)).withColumn("_to", F.lead("ts").over(window))
-    near = (F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 20_000_000
+    """A type's user leads to the next user with an event of that type within 150 seconds, by time; the types' graphs are separate."""
+    e = t("events").select("event_type", "ts", "event_id", "user_id")
+    e = ordered.following(e, ["event_type"], ["ts", "event_id"], {"next_user": "user_id", "next_ts": "ts"})
+    near = (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 150_000_000
     node = lambda user: F.struct("event_type", F.col(user).alias("user_id"))
-    return e.filter(near & (F.col("user_id") != F.col("dst"))).select(node("user_id").alias("src"), node("dst").alias("dst")).distinct()
+    return e.filter(near & (F.col("user_id") != F.col("next_user"))).select(node("user_id").alias("src"), node("next_user").alias("dst")).distinct()
 
 
 TYPED_EDGES = """
 edges AS (
   SELECT DISTINCT event_type, user_id AS src, dst FROM (
     SELECT event_type, ts, user_id, lead(user_id) OVER w AS dst, lead(ts) OVER w AS to_ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
-  ) WHERE epoch_us(to_ts) - epoch_us(ts) < 20000000 AND user_id <> dst
-),
-r AS (SELECT DISTINCT event_type, src AS root, src AS node FROM edges UNION SELECT r.event_type, root, dst FROM r JOIN edges ON r.event_type = edges.event_type AND node = src)
+  ) WHERE epoch_us(to_ts) - epoch_us(ts) < 150000000 AND user_id <> dst
+)
 """
 
 
-@query(f"WITH RECURSIVE {TYPED_EDGES} SELECT event_type, root, node FROM r")
-def graph_reach_all(t):
-    """What each node of each type's graph leads to; graph_reach_multi has a seventh of one type's nodes, as its SQL does."""
+@query(f"""
+WITH RECURSIVE {TYPED_EDGES},
+r AS (SELECT DISTINCT event_type, src AS node FROM edges JOIN customer ON src = c_custkey WHERE c_mktsegment = 'BUILDING' UNION SELECT r.event_type, dst FROM r JOIN edges ON r.event_type = edges.event_type AND node = src)
+SELECT event_type, node FROM r
+""")
+def graph_reach_multi(t):
+    """In each type's graph what the users of a market segment lead to: one reachability of all types, from all of its entries."""
     edges = closure.cut(typed_edges(t))
-    found = closure.reach(edges, edges.select(F.col("src").alias("root"), F.col("src").alias("node")))
-    return found.select("root.event_type", F.col("root.user_id").alias("root"), F.col("node.user_id").alias("node"))
+    segment = t("customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    entries = edges.join(segment, F.col("src.user_id") == F.col("c_custkey"), "left_semi").select(F.col("src.event_type").alias("root"), F.col("src").alias("node"))
+    return closure.reach(edges, entries).select(F.col("root").alias("event_type"), F.col("node.user_id").alias("node"))
 
 
 @query(f"""
 WITH RECURSIVE {TYPED_EDGES},
+r AS (SELECT DISTINCT event_type, src AS root, src AS node FROM edges UNION SELECT r.event_type, root, dst FROM r JOIN edges ON r.event_type = edges.event_type AND node = src),
 pairs AS (SELECT a.event_type, a.root AS x, a.node AS y FROM r a JOIN r b ON a.event_type = b.event_type AND a.root = b.node AND a.node = b.root AND a.root <> a.node)
 SELECT event_type, x AS node, least(x, min(y)) AS component FROM pairs GROUP BY event_type, x
 """)
-def graph_scc_all(t):
-    """The cycles of each type's graph; graph_scc_cycles has those of one type, as its SQL does."""
-    found = closure.strong_components(closure.cut(typed_edges(t)))
+def graph_scc_cycles(t):
+    """The cycles of each type's graph."""
+    found = closure.strong_components(typed_edges(t))
     return found.select("node.event_type", F.col("node.user_id").alias("node"), F.col("component.user_id").alias("component"))
 
 
-@query("""
-WITH a AS (SELECT conv_id, turn, unnest(w) AS arg, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations)),
-b AS (SELECT conv_id, turn, unnest(w) AS param, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations))
-SELECT a.conv_id, a.turn, CAST(a.pos AS INTEGER) AS pos, arg, param FROM a JOIN b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.pos = b.pos
-""")
-def param_binding_positional(t):
-    words = t("conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", " "), 1, 4)).alias("pos", "arg"))
-    params = words.select("conv_id", (F.col("turn") - 1).alias("turn"), "pos", F.col("arg").alias("param"))
-    return words.join(params, ["conv_id", "turn", "pos"]).select("conv_id", "turn", "pos", "arg", "param")
-
-
 @query("""
 WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
 a AS (SELECT conv_id, turn, unnest(w) AS arg, generate_subscripts(w, 1) - 1 AS pos FROM w)
 SELECT a.conv_id, a.turn, CAST(a.pos AS INTEGER) AS pos, a.arg, b.arg AS param FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.pos = b.pos
 """)
-def param_binding_all(t):
-    """Every word of a turn and the next turn's word of the same position; param_binding_positional stops at four, as its SQL does."""
+def param_binding_positional(t):
+    """Every word of a turn and the next turn's word of the same position."""
     words = t("conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "arg"))
     params = words.select("conv_id", (F.col("turn") - 1).alias("turn"), "pos", F.col("arg").alias("param"))
     return words.join(params, ["conv_id", "turn", "pos"]).select("conv_id", "turn", "pos", "arg", "param")
@@ -289,26 +252,6 @@ def may_reach_straightline(t):
     return e.filter((F.col("event_type") == "purchase") & (F.col("gen") > F.coalesce("kill", F.lit(0)))).select("event_id")
 
 
-@query("SELECT o_custkey, bool_and(ok) AS must FROM (SELECT o_custkey, o_orderstatus, bool_or(o_totalprice > 100000) AS ok FROM orders GROUP BY ALL) GROUP BY o_custkey")
-def must_reach_branches(t):
-    branches = t("orders").groupBy("o_custkey", "o_orderstatus").agg(F.bool_or(F.col("o_totalprice") > 100000).alias("ok"))
-    return branches.groupBy("o_custkey").agg(F.bool_and("ok").alias("must"))
-
-
-@query("""
-WITH g AS (
-  SELECT user_id, value, max(value) OVER w AS top, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-)
-SELECT user_id, min(value) AS lo, CASE WHEN count(*) FILTER (line > 1 AND value > top) > 3 THEN NULL ELSE max(value) END AS hi, count(*) FILTER (line > 1 AND value > top) AS growths FROM g GROUP BY user_id
-""")
-def interval_hull_widen(t):
-    window = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = t("events").select("user_id", "value", F.max("value").over(window.rowsBetween(Window.unboundedPreceding, -1)).alias("top"))
-    growths = F.count(F.when(F.col("value") > F.col("top"), 1))
-    return g.groupBy("user_id").agg(F.min("value").alias("lo"), F.when(growths <= 3, F.max("value")).alias("hi"), growths.alias("growths"))
-
-
 @query("""
 WITH RECURSIVE seed AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_totalprice > 400000),
 steps AS (SELECT 'c' AS kind, c AS id FROM seed
@@ -319,15 +262,14 @@ steps AS (SELECT 'c' AS kind, c AS id FROM seed
 SELECT kind, count(*) AS n FROM steps GROUP BY kind
 """)
 def taint_fixpoint(t):
-    """From customers with a large order over their open orders to parts and suppliers."""
+    """From customers with a large order over their open orders to parts and suppliers. A node is a kind and a key."""
     orders, lines = t("orders"), t("lineitem")
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
-    edges = edge(orders.filter("o_orderstatus = 'P'"), name("c", "o_custkey"), name("o", "o_orderkey"))
-    edges = edges.unionByName(edge(lines, name("o", "l_orderkey"), name("p", "l_partkey"))).unionByName(edge(lines, name("o", "l_orderkey"), name("s", "l_suppkey")))
-    entries = orders.filter("o_totalprice > 400000").select(F.lit("taint").alias("root"), name("c", "o_custkey").alias("node")).distinct()
-    found = closure.reach(edges, entries)
-    return found.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    edges = orders.filter("o_orderstatus = 'P'").select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"))
+    items = lines.select(node("o", "l_orderkey").alias("src"), F.explode(F.array(node("p", "l_partkey"), node("s", "l_suppkey"))).alias("dst"))
+    entries = orders.filter("o_totalprice > 400000").select(F.lit("taint").alias("root"), node("c", "o_custkey").alias("node")).distinct()
+    found = closure.reach(edges.unionByName(items), entries)
+    return found.groupBy("node.kind").agg(F.count("*").alias("n"))
 
 
 # ---- filters
@@ -375,14 +317,17 @@ def size_bound_guard(t):
 
 
 @query("""
-SELECT f.l_orderkey AS free_order, u.l_orderkey AS use_order, f.l_partkey AS part FROM lineitem f JOIN lineitem u
-ON f.l_partkey = u.l_partkey AND f.l_suppkey = u.l_suppkey AND f.l_returnflag = 'R' AND u.l_shipdate > f.l_shipdate
+SELECT u.l_orderkey AS use_order, u.l_linenumber AS use_line, u.l_partkey AS part, count(*) AS releases, min(f.l_shipdate) AS first_release FROM lineitem f JOIN lineitem u
+ON f.l_partkey = u.l_partkey AND f.l_suppkey = u.l_suppkey AND f.l_returnflag = 'R' AND u.l_shipdate > f.l_shipdate GROUP BY ALL
 """)
-def use_after_release_pairs(t):
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    f, u = lines.filter("l_returnflag = 'R'").alias("f"), lines.alias("u")
-    on = (F.col("f.l_partkey") == F.col("u.l_partkey")) & (F.col("f.l_suppkey") == F.col("u.l_suppkey")) & (F.col("u.l_shipdate") > F.col("f.l_shipdate"))
-    return f.join(u, on).select(F.col("f.l_orderkey").alias("free_order"), F.col("u.l_orderkey").alias("use_order"), F.col("f.l_partkey").alias("part"))
+def use_after_release(t):
+    """Each line that is shipped after a release of the same part and supplier: how many releases, and the first. One pass in key order; no pairs."""
+    moment = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    before = Window.partitionBy("l_partkey", "l_suppkey").orderBy("moment").rangeBetween(Window.unboundedPreceding, -1)
+    released = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", moment.alias("moment"))
+    lines = lines.withColumns({"releases": F.count(released).over(before), "first_release": F.min(released).over(before)})
+    return lines.filter("releases > 0").select(F.col("l_orderkey").alias("use_order"), F.col("l_linenumber").alias("use_line"), F.col("l_partkey").alias("part"), "releases", "first_release")
 
 
 @query("""
@@ -412,16 +357,6 @@ def lockset_intersection(t):
 SECRET = r'(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"'
 
 
-@query(r"""
-SELECT doc_id, lower(regexp_extract(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 1)) AS name,
-  CAST(length(regexp_extract(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 2)) AS INTEGER) AS size
-FROM documents WHERE regexp_matches(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"')
-""")
-def hardcoded_secret_scan(t):
-    text = F.col("text")
-    return t("documents").filter(text.rlike(SECRET)).select("doc_id", F.lower(F.regexp_extract(text, SECRET, 1)).alias("name"), F.length(F.regexp_extract(text, SECRET, 2)).alias("size"))
-
-
 @query(r"""
 WITH d AS (
   SELECT doc_id, string_split_regex(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"') AS rest, regexp_extract_all(text, '(?i)\b(password|passwd|secret|token|api_key)\s*=\s*"([^"]+)"', 0) AS hit,
@@ -432,8 +367,8 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CAST(length(array_to_string(rest[1
   lower(name[i]) AS name, CAST(length(value[i]) AS INTEGER) AS size
 FROM h
 """)
-def hardcoded_secret_hits(t):
-    """A row for each secret: which of its document's it is, and the characters before it. hardcoded_secret_scan has each document's first, as its SQL does."""
+def hardcoded_secret_scan(t):
+    """A row for each secret: which of its document's it is, and the characters before it."""
     all_of = lambda group: F.regexp_extract_all("text", F.lit(SECRET), F.lit(group))
     sizes = lambda texts: F.transform(texts, F.length)
     docs = t("documents").filter(F.col("text").rlike(SECRET))
@@ -444,34 +379,6 @@ def hardcoded_secret_hits(t):
     return docs.select("doc_id", "pos", start.alias("start"), "found.name", "found.size")
 
 
-def counted_tokens(t, pattern: str) -> DataFrame:
-    n = F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long")
-    return t("documents").select("doc_id", n.alias("n")).filter("n > 0")
-
-
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]*(?:md|des|rc)[0-9a-z]*', 0)) AS BIGINT) AS n FROM documents WHERE n > 0")
-def weak_token_scan(t):
-    return counted_tokens(t, "[A-Za-z]*(?:md|des|rc)[0-9a-z]*")
-
-
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?:exec|sel|ins|and)[a-z]+', 0)) AS BIGINT) AS n FROM documents WHERE n > 0")
-def injection_token_scan(t):
-    return counted_tokens(t, r"(?:exec|sel|ins|and)[a-z]+")
-
-
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '%[%a-z]', 0)) AS BIGINT) AS n FROM documents WHERE n > 0")
-def format_spec_scan(t):
-    return counted_tokens(t, "%[%a-z]")
-
-
-@query(r"""
-SELECT page_id, CAST(len(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS BIGINT) AS links, list_aggregate(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1)), 'count') AS distinct_links FROM pages
-""")
-def path_token_scan(t):
-    found = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
-    return t("pages").select("page_id", F.size(found).cast("long").alias("links"), F.size(F.array_distinct(found)).cast("long").alias("distinct_links"))
-
-
 # ---- convergence
 
 LEVELS = {"error": "confirmed", "purchase": "suspected", "click": "possible"}
@@ -528,32 +435,35 @@ def rank_candidates(t):
     return converge.ranked(seeded(t), score, "file", "ts", "event_id", ["event_type"]).select("event_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-CHAIN = ("low_value", "external", "odd_user")
+CHAIN = ("low_value", "external", "household")
 
 
 def chained(t) -> DataFrame:
-    chain = (("low_value", F.col("value") < 20), ("external", F.col("function") == "external"), ("odd_user", F.col("user_id") % 3 == 1))
+    chain = (("low_value", F.col("value") < 20), ("external", F.col("function") == "external"), ("household", F.col("api") == "HOUSEHOLD"))
     return converge.tagged(seeded(t), chain)
 
 
 TAGGED = f"""
-{SEEDED}, tagged AS (SELECT *, CASE WHEN value < 20 THEN 'low_value' WHEN function = 'external' THEN 'external' WHEN user_id % 3 = 1 THEN 'odd_user' END AS drop_filter FROM seeded)
+{SEEDED}, tagged AS (SELECT *, CASE WHEN value < 20 THEN 'low_value' WHEN function = 'external' THEN 'external' WHEN api = 'HOUSEHOLD' THEN 'household' END AS drop_filter FROM seeded)
 """
 
 
 @query(f"""
-WITH {TAGGED}, c AS (SELECT event_type, count(*) AS n, count(*) FILTER (drop_filter = 'low_value') AS a, count(*) FILTER (drop_filter = 'external') AS b, count(*) FILTER (drop_filter = 'odd_user') AS d FROM tagged GROUP BY 1)
+WITH {TAGGED}, c AS (SELECT event_type, count(*) AS n, count(*) FILTER (drop_filter = 'low_value') AS a, count(*) FILTER (drop_filter = 'external') AS b, count(*) FILTER (drop_filter = 'household') AS d FROM tagged GROUP BY 1)
 SELECT event_type, 0 AS step, 'low_value' AS filter, n AS rows_in, n - a AS rows_out FROM c
-UNION ALL SELECT event_type, 1, 'external', n - a, n - a - b FROM c UNION ALL SELECT event_type, 2, 'odd_user', n - a - b, n - a - b - d FROM c
+UNION ALL SELECT event_type, 1, 'external', n - a, n - a - b FROM c UNION ALL SELECT event_type, 2, 'household', n - a - b, n - a - b - d FROM c
 """)
 def filter_chain_stats(t):
     return converge.chain_stats(chained(t), CHAIN, ["event_type"])
 
 
-@query(f"WITH {TAGGED} SELECT event_type, drop_filter, count(*) AS n, list_sort(list(event_id)) AS ids FROM tagged WHERE drop_filter IS NOT NULL GROUP BY ALL")
+@query(f"""
+WITH {TAGGED}, n AS (SELECT event_type, drop_filter, count(*) AS dropped FROM tagged WHERE drop_filter IS NOT NULL GROUP BY ALL)
+SELECT event_type, drop_filter, event_id, dropped FROM tagged JOIN n USING (event_type, drop_filter)
+""")
 def dismissed_ledger(t):
-    rows = chained(t).filter("drop_filter is not null")
-    return rows.groupBy("event_type", "drop_filter").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("ids"))
+    """Every dropped candidate, a row each, with how many its filter has dropped of its type."""
+    return converge.ledger(chained(t), ["event_type"]).select("event_type", "drop_filter", "event_id", "dropped")
 
 
 @query(f"""
@@ -574,51 +484,42 @@ def candidate_convergence(t):
 
 
 @query("""
-WITH s AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90), b AS (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90)
-SELECT e.event_id, CASE WHEN e.user_id IN (SELECT user_id FROM s) THEN 'suppressed' WHEN e.user_id IN (SELECT user_id FROM b) THEN 'baseline' ELSE 'kept' END AS outcome
-FROM events e WHERE event_type = 'purchase'
+WITH p AS (SELECT page_id, split_part(url, '://', 2) AS path FROM pages), h AS (SELECT split_part(path, '/', 1) AS host FROM p ORDER BY page_id LIMIT 1)
+SELECT page_id, path FROM p, h WHERE path = host OR starts_with(path, host || '/') OR path = ''
 """)
-def suppression_baseline(t):
-    e = t("events")
-    keys = lambda kind, flag: e.filter((F.col("event_type") == kind) & (F.col("value") > 90)).select("user_id", F.lit(True).alias(flag)).distinct()
-    rows = e.filter("event_type = 'purchase'").join(keys("error", "s"), "user_id", "left").join(keys("signup", "b"), "user_id", "left")
-    return rows.select("event_id", F.when(F.col("s"), "suppressed").when(F.col("b"), "baseline").otherwise("kept").alias("outcome"))
-
-
-@query("SELECT page_id, url FROM pages WHERE url = 'http://x' OR url LIKE 'http://th%'")
 def scope_to_target(t):
-    return t("pages").filter((F.col("url") == "http://x") | F.col("url").startswith("http://th")).select("page_id", "url")
+    """The pages of the first page's host."""
+    pages = t("pages").select("page_id", F.split_part("url", F.lit("://"), F.lit(2)).alias("path"))
+    host = pages.agg(F.min_by(F.split_part("path", F.lit("/"), F.lit(1)), "page_id")).first()[0]
+    return converge.below(pages, host or "/")
 
 
 # ---- verdicts and reports
 
 
 @query("""
-WITH o AS (SELECT doc_id, quality AS status, 'review' || toxic AS review FROM labels WHERE doc_id % 4 <> 0),
-n AS (SELECT doc_id, 1 - quality AS status FROM labels WHERE doc_id % 4 <> 1)
+WITH l AS (SELECT labels.*, lang FROM labels JOIN documents USING (doc_id)),
+o AS (SELECT doc_id, quality AS status, 'review' || toxic AS review FROM l WHERE lang <> 'de'), n AS (SELECT doc_id, 1 - quality AS status FROM l WHERE lang <> 'es')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.status ELSE o.status END AS status, coalesce(o.review, 'none') AS review FROM o FULL JOIN n ON o.doc_id = n.doc_id
 """)
 def finding_upsert(t):
-    labels = t("labels")
-    old = labels.filter("doc_id % 4 <> 0").select("doc_id", F.col("quality").alias("status"), F.concat(F.lit("review"), F.col("toxic").cast("string")).alias("review"))
-    new = labels.filter("doc_id % 4 <> 1").select("doc_id", (1 - F.col("quality")).alias("status"))
+    """German documents' verdicts are new, Spanish ones' stay, the others' change and keep their review."""
+    labels = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
+    old = labels.filter("lang <> 'de'").select("doc_id", F.col("quality").alias("status"), F.concat(F.lit("review"), F.col("toxic").cast("string")).alias("review"))
+    new = labels.filter("lang <> 'es'").select("doc_id", (1 - F.col("quality")).alias("status"))
     return merging.upsert(old, new, ["doc_id"], ["review"], {"review": "none"})
 
 
 @query("""
 SELECT doc_id, CASE WHEN review = 'confirmed' THEN 'confirmed' WHEN review = 'dismissed' THEN 'dismissed' WHEN review = 'suspected-kept' THEN 'suspected' ELSE status END AS effective
-FROM (SELECT doc_id, CASE quality WHEN 1 THEN 'suspected' ELSE 'open' END AS status, CASE WHEN toxic = 1 THEN 'confirmed' WHEN doc_id % 3 = 0 THEN 'dismissed' WHEN doc_id % 3 = 1 THEN 'suspected-kept' ELSE '' END AS review FROM labels)
+FROM (SELECT doc_id, CASE quality WHEN 1 THEN 'suspected' ELSE 'open' END AS status, CASE WHEN toxic = 1 THEN 'confirmed' WHEN lang = 'de' THEN 'dismissed' WHEN lang = 'fr' THEN 'suspected-kept' ELSE '' END AS review FROM labels JOIN documents USING (doc_id))
 """)
 def effective_status(t):
-    rows = t("labels").select("doc_id", F.when(F.col("quality") == 1, "suspected").otherwise("open").alias("status"), F.when(F.col("toxic") == 1, "confirmed").when(F.col("doc_id") % 3 == 0, "dismissed").when(F.col("doc_id") % 3 == 1, "suspected-kept").otherwise("").alias("review"))
+    rows = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.select("doc_id", F.when(F.col("quality") == 1, "suspected").otherwise("open").alias("status"), F.when(F.col("toxic") == 1, "confirmed").when(F.col("lang") == "de", "dismissed").when(F.col("lang") == "fr", "suspected-kept").otherwise("").alias("review"))
     return rows.select("doc_id", S.effective_status(F.col("status"), F.col("review")).alias("effective"))
 
 
-@query("SELECT user_id, event_type, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS latest, max(ts) AS at FROM events GROUP BY ALL")
-def latest_per_location(t):
-    return t("events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("at"))
-
-
 @query("""
 SELECT coalesce(event_type, 'TOTAL') AS event_type, count(*) AS seeds, count(*) FILTER (value > 50) AS finals, CAST(round(100.0 * count(*) FILTER (value <= 50) / count(*), 6) AS DOUBLE) AS efficiency FROM events GROUP BY ROLLUP (event_type)
 """)
@@ -629,33 +530,6 @@ def audit_rollup(t):
     return out.withColumn("event_type", F.coalesce("event_type", F.lit("TOTAL")))
 
 
-@query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-m AS (SELECT doc_id, min(pos) AS p0 FROM l WHERE regexp_matches(line, 'Licensed') GROUP BY 1)
-SELECT l.doc_id, CAST(pos AS INTEGER) AS pos, substr(line, 1, 400) AS line FROM l JOIN m ON l.doc_id = m.doc_id AND pos BETWEEN p0 - 2 AND p0 + 2
-""")
-def context_window(t):
-    """Two lines either side of the first match, cut to 400 characters: sliced from the split text, without a join."""
-    lines = F.split("text", "\n")
-    at = t("documents").filter(F.col("text").contains("Licensed")).select("doc_id", lines.alias("l"))
-    at = at.select("doc_id", "l", F.array_position(F.transform("l", lambda x: x.contains("Licensed")), True).cast("int").alias("at"))
-    start = F.greatest(F.col("at") - 2, F.lit(1))
-    own = at.select("doc_id", start.alias("start"), F.posexplode(F.slice("l", start, F.col("at") + 2 - start + 1)).alias("i", "line"))
-    return own.select("doc_id", (F.col("start") - 1 + F.col("i")).alias("pos"), F.substring("line", 1, 400).alias("line"))
-
-
-@query("""
-SELECT 'CWE-' || CAST(100 + event_id % 20 AS VARCHAR) AS rule_id, CASE WHEN value > 80 THEN 'error' WHEN value > 40 THEN 'warning' ELSE 'note' END AS level,
-  'src/' || CAST(user_id AS VARCHAR) || '.c' AS uri, CAST(event_id % 1000 + 1 AS INTEGER) AS line, 'CWE-' || CAST(100 + event_id % 20 AS VARCHAR) || ':' || event_type || ':' || CAST(event_id % 1000 + 1 AS VARCHAR) AS fingerprint
-FROM events
-""")
-def sarif_rows(t):
-    rule = F.concat(F.lit("CWE-"), (100 + F.col("event_id") % 20).cast("string"))
-    line = (F.col("event_id") % 1000 + 1).cast("int")
-    level = F.when(F.col("value") > 80, "error").when(F.col("value") > 40, "warning").otherwise("note")
-    return t("events").select(rule.alias("rule_id"), level.alias("level"), F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".c")).alias("uri"), line.alias("line"), F.concat_ws(":", rule, "event_type", line.cast("string")).alias("fingerprint"))
-
-
 @query("""
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
 """)
@@ -667,12 +541,13 @@ def props_from_json(t):
 SELECT n_name, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name
 """)
 def readonly_sql_guard(t):
+    """In a session of its own, so that the caller's views stay as they are."""
     from .operators.sqlguard import checked
 
-    spark = t("nation").sparkSession
+    session = t.spark.newSession()
     for name in ("orders", "customer", "nation"):
-        t(name).createOrReplaceTempView(name)
-    return spark.sql(checked("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name"))
+        session.read.parquet(f"{t.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return session.sql(checked("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name"))
 
 
 # ---- C from tables: a scan whose results the tables foretell
