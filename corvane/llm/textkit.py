@@ -6,6 +6,7 @@ A batch's texts stay one UTF-8 buffer; words are byte spans in it. All hashes ar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 WORD_BASE = U(0xD6E8FEB86659FD93)
-#: With this the tables of powers() stay at 2**21 entries.
-SLICE_BYTES = (2 << 20) - 4096
+OTHER_BASE = U(0xA24BAED4963EE407)
+#: Text that is worked on at once: some 50 bytes of arrays stand for each of its bytes. The tables of powers() stay at 2**19 entries.
+SLICE_BYTES = (1 << 19) - 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +46,7 @@ def powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             pair.append(np.cumprod(p))
         got = (pair[0], pair[1])
-        if m <= 1 << 23:
+        if m <= 1 << 20:  # larger ones are for one long text and go with it
             _powers[int(base)] = got
     return got[0][:n], got[1][:n]
 
@@ -94,6 +96,22 @@ def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             i = j
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts as (bytes, offsets) of at most about `most` bytes; a longer text is cut between words, and each piece has all n + 1 offsets."""
+    a = 0
+    while True:
+        b = a + most
+        if b >= len(data):
+            b = len(data)
+        while b < len(data) and table[data[b]]:
+            ahead = np.flatnonzero(~table[data[b : b + 4096]])
+            b = b + int(ahead[0]) if len(ahead) else min(b + 4096, len(data))
+        yield data[a:b], np.clip(offsets - a, 0, b - a)
+        if b >= len(data):
+            return
+        a = b
+
+
 class Words:
     """Words of a batch: byte spans start, end; first[d]:first[d + 1] are document d's."""
 
@@ -130,16 +148,39 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * BASE)
 
 
-def sums(h: np.ndarray) -> np.ndarray:
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each byte span, eight bytes a step; hashes of unlike seeds have nothing in common."""
+    size = end - start
+    h = mix(size.astype(U) + U(seed) * BASE)
+    eight = np.lib.stride_tricks.as_strided(padded := np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
+    at = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    done = 0
+    while len(at):
+        block = np.ascontiguousarray(eight[start[at] + done]).view(np.dtype("<u8"))[:, 0]
+        left = size[at] - done
+        block &= U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (U(8) - np.minimum(left, 8).astype(U)))
+        h[at] = mix((h[at] ^ block) * BASE + U(seed + 1))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        own = hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(own, "little")
+    return h
+
+
+def sums(h: np.ndarray, base: np.uint64 = WORD_BASE) -> np.ndarray:
     """Prefix sums from which sequence_hashes takes any run of words."""
     total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * powers(len(h) + 1, WORD_BASE)[0][:-1], out=total[1:])
+    np.cumsum(h * powers(len(h) + 1, base)[0][:-1], out=total[1:])
     return total
 
 
-def sequence_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of the words [start, end) from sums(their hashes)."""
-    inverse = powers(len(total), WORD_BASE)[1]
+def sequence_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, base: np.uint64 = WORD_BASE) -> np.ndarray:
+    """A hash of the words [start, end) from sums(their hashes, base)."""
+    inverse = powers(len(total), base)[1]
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * BASE + U(seed))
 
 

@@ -46,6 +46,16 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int
     return np.concatenate(words), np.concatenate(ids).astype(np.int64)
 
 
+def gram_chunks(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...], buckets: int, most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """grams() of some words at a time, of at most `most` bytes or one word: (first word, word after the last, words from 0, buckets)."""
+    total = np.cumsum(end - start)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b, *grams(data, start[a:b], end[a:b], sizes, buckets)
+        a = b
+
+
 def pairs(doc: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (document, word) pairs and how often each occurs."""
     key, often = np.unique(doc * max(n_words, 1) + word, return_counts=True)
@@ -53,12 +63,12 @@ def pairs(doc: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray,
 
 
 def sample(rows: DataFrame, label: str, most: int, order: Column) -> DataFrame:
-    """About `most` rows of each label, never over twice that: those with the smallest order, a hash in 0..2**20-1."""
+    """About `most` rows of each label, never over twice that for all labels together: those with the smallest order, a hash in 0..2**20-1, and of equal ones the smallest rows."""
     n = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     cut = F.lit(0)
     for value, rows_of in n.items():
         cut = F.when(F.col(label) == F.lit(value), F.lit(int((1 << 20) * min(1.0, most / max(rows_of, 1))) + 1)).otherwise(cut)
-    return rows.filter(order < cut).limit(2 * most * max(len(n), 1))
+    return rows.filter(order < cut).orderBy(order, *rows.columns).limit(2 * most * max(len(n), 1))
 
 
 def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
