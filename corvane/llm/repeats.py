@@ -9,14 +9,19 @@ filed under its best interior symbol: of the highest round, then of the largest
 is the same symbol wherever the window occurs, and neighbouring windows share it, so a
 document of n words has about n / 4 groups of windows, not n.
 
-A group is a row (symbol, hash of all words its windows cover, document). Rows meet by
-symbol. Where equal groups meet, all their windows repeat, and only the smallest document
-keeps them. Where one symbol has unlike groups, some windows may still be equal: those
-groups' windows are hashed one by one in a second step that compares 128 bits of each.
-
-Before a shuffle, each task settles what it can: of equal groups it passes on the smallest
-document's only, and of a symbol with unlike groups a mark. So however often a passage
-occurs, a task gives one row for it. Rows travel as packed blocks for each bucket of symbols.
+A group is a row (symbol, content, document); the content is 128 bits of all words that its
+windows cover, from two families of hashes that share neither byte nor word values. Rows
+meet by symbol. Where equal groups meet, all their windows repeat, and only the smallest
+document keeps them. Where one symbol has unlike groups, some windows may still be equal:
+those groups' windows are hashed one by one in a second step, by 128 bits of each again. A
+symbol only brings groups together, so 32 bits of its name do, beside its bucket: two
+symbols of one name make unlike groups, which costs work and changes nothing.
+
+The rounds of naming are two, as a symbol must lie within a window to be its key. Before a
+shuffle, SETTLE_BYTES of text are settled among themselves: of equal groups the smallest
+document's only is passed on, and of a symbol with unlike groups a mark. So however often a
+passage occurs, so much text gives one row for it. Rows travel as packed blocks for each
+bucket of symbols.
 """
 
 from __future__ import annotations
@@ -35,6 +40,10 @@ from . import textkit as tk
 from .shared import cut
 
 ROUNDS = 2
+#: Text whose groups are settled among themselves before they are sent.
+SETTLE_BYTES = 4 << 20
+#: Documents whose words are cut at once.
+CUT_AT_ONCE = 256
 NO_ID = (1 << 63) - 1
 BLOCKS, REMOVED, OPEN = 0, 1, 2
 SCHEMA = "kind int, bucket int, block binary, did long, row long, starts array<int>, ends array<int>"
@@ -102,13 +111,27 @@ def best_inside(s: Symbols, window: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def groups(h: np.ndarray, first: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+class Hashes:
+    """Two families of hashes of a batch's words and of any run of them."""
+
+    def __init__(self, data: np.ndarray, w: tk.Words):
+        self.words = tk.word_hashes(data, w.start, w.end, 1)
+        self.totals = tk.sums(self.words), tk.sums(tk.word_hashes(data, w.start, w.end, 2), tk.OTHER_BASE)
+
+    def one(self, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        return tk.sequence_hashes(self.totals[0], start, end, seed)
+
+    def both(self, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        """A column for each family."""
+        return np.stack([self.one(start, end, seed), tk.sequence_hashes(self.totals[1], start, end, seed, tk.OTHER_BASE)])
+
+
+def groups(hashes: Hashes, first: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(first window, number of windows, symbol, content) of each group of windows."""
     window = tk.starts_within(first, width)
     if not len(window):
-        return window, window, np.zeros(0, tk.U), np.zeros(0, tk.U)
-    total = tk.sums(h)
-    rounds, level = [], token_runs(h, doc)
+        return window, window, np.zeros(0, tk.U), np.zeros((2, 0), tk.U)
+    rounds, level = [], token_runs(hashes.words, doc)
     for r in range(1, ROUNDS + 1):
         level, new = pair_round(level, r)
         rounds.append(new)
@@ -126,12 +149,12 @@ def groups(h: np.ndarray, first: np.ndarray, doc: np.ndarray, width: int) -> tup
     g = np.flatnonzero(new)
     count = np.diff(np.append(g, len(window)))
     start, left, right = window[g], left[g], right[g]
-    symbol = tk.sequence_hashes(total, left, right, 11)
-    content = tk.mix(tk.sequence_hashes(total, start, start + count + width - 1, 12) + (left - start).astype(tk.U))
-    return start, count, symbol, content
+    # groups are equal if their words are, and their symbols lie at the same place in them
+    content = tk.mix(hashes.both(start, start + count + width - 1, 12) + (left - start).astype(tk.U))
+    return start, count, hashes.one(left, right, 11), content
 
 
-# ---- packed blocks: keys, then the documents they came from
+# ---- packed blocks: 32-bit keys, then the documents they came from
 
 
 def pack(key: np.ndarray, content: np.ndarray, own: np.ndarray, pos: np.ndarray, count: np.ndarray, did: np.ndarray, row: np.ndarray) -> bytes:
@@ -139,26 +162,27 @@ def pack(key: np.ndarray, content: np.ndarray, own: np.ndarray, pos: np.ndarray,
     wide = int(pos.max(initial=0) >= 1 << 16 or len(docs) >= 1 << 16)
     small = np.uint32 if wide else np.uint16
     head = np.array([len(key), len(docs), wide], np.int64)
-    return b"".join(x.tobytes() for x in (head, did[docs], row[docs], key, content, own.astype(small), pos.astype(small), count.astype(np.uint8)))
+    return b"".join(x.tobytes() for x in (head, did[docs], row[docs], *content, (key >> tk.U(32)).astype(np.uint32), own.astype(small), pos.astype(small), count.astype(np.uint8)))
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     n, d, wide = np.frombuffer(block, np.int64, 3).tolist()
     small, at, out = np.uint32 if wide else np.uint16, 24, []
-    for kind, size in ((np.int64, d), (np.int64, d), (tk.U, n), (tk.U, n), (small, n), (small, n), (np.uint8, n)):
+    for kind, size in ((np.int64, d), (np.int64, d), (tk.U, n), (tk.U, n), (np.uint32, n), (small, n), (small, n), (np.uint8, n)):
         out.append(np.frombuffer(block, kind, size, at))
         at += out[-1].nbytes
-    did, row, key, content, own, pos, count = out
-    return key, content, did[own], row[own], pos.astype(np.int64), count.astype(np.int64)
+    did, row, one, two, key, own, pos, count = out
+    return key, one, two, did[own], row[own], pos.astype(np.int32), count
 
 
 def settle(key: np.ndarray, content: np.ndarray, did: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
     """Order, and in that order: rows that a smaller document's equal row makes repeats; rows of a key with unlike contents in several documents, or with a mark."""
-    order = np.lexsort((did, content, key))
-    k, c, d = key[order], content[order], did[order]
+    one, two = content
+    order = np.lexsort((did, two, one, key))
+    k, c, c2, d = key[order], one[order], two[order], did[order]
     new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
-    new[1:] = new_key[1:] | (c[1:] != c[:-1])
+    new[1:] = new_key[1:] | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
     first = np.flatnonzero(new)
     repeat = d > np.repeat(d[first], np.diff(np.append(first, len(k))))
     starts = np.flatnonzero(new_key)
@@ -188,7 +212,7 @@ def by_document(kind: int, did: np.ndarray, row: np.ndarray, a: np.ndarray, b: n
     if kind == REMOVED:
         which = np.cumsum(doc) - 1
         # ends so far, kept apart by document
-        shift = which * (int(b.max()) + 1)
+        shift = which * (int(b.max()) + 1)  # 64 bits
         reach = np.maximum.accumulate(b + shift) - shift
         new = doc.copy()
         new[1:] |= a[1:] > reach[:-1]
@@ -204,21 +228,21 @@ def by_document(kind: int, did: np.ndarray, row: np.ndarray, a: np.ndarray, b: n
 
 def sent(key, content, own, pos, count, did, row, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks of rows for each bucket of keys."""
-    bucket = (tk.mix(key) % tk.U(buckets)).astype(np.int64)
+    bucket = (tk.mix(key) % tk.U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(edge))
     blocks = []
     for x in some.tolist():
         at = order[edge[x] : edge[x + 1]]
-        blocks.append(pack(key[at], content[at], own[at], pos[at], count[at], did, row))
+        blocks.append(pack(key[at], content[:, at], own[at], pos[at], count[at], did, row))
     yield batch_of(BLOCKS, some.astype(np.int32), blocks, None, None, None, None)
 
 
 def kept_here(key, content, doc, pos, count, did, row, buckets: int, width: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Settles a batch's rows among themselves and passes the rest on. whole: rows of one content are single windows, which are never unlike."""
+    """Settles rows among themselves and passes the rest on. whole: rows are single windows, which are never unlike."""
     order, repeat, unlike = settle(key, content, did[doc], np.zeros(len(key), bool))
-    key, content, doc, pos, count = (x[order] for x in (key, content, doc, pos, count))
+    key, content, doc, pos, count = key[order], content[:, order], doc[order], pos[order], count[order]
     yield from by_document(REMOVED, did[doc][repeat], row[doc][repeat], pos[repeat], (pos + count + width - 1)[repeat], buckets)
     if whole:
         ask = ~repeat
@@ -231,7 +255,30 @@ def kept_here(key, content, doc, pos, count, did, row, buckets: int, width: int,
         mark &= open_
         count = np.where(mark, 0, count)
         ask = (~unlike & ~repeat) | mark
-    yield from sent(key[ask], content[ask], doc[ask], pos[ask], count[ask], did, row, buckets)
+    yield from sent(key[ask], content[:, ask], doc[ask], pos[ask], count[ask], did, row, buckets)
+
+
+class Held:
+    """Rows of several slices, until they stand for SETTLE_BYTES of text."""
+
+    def __init__(self, buckets: int, width: int, whole: bool):
+        self.to = buckets, width, whole
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.docs, self.bytes = [], 0, 0
+
+    def add(self, key, content, doc, pos, count, did, row, size: int) -> Iterator[pa.RecordBatch]:
+        self.parts.append((key, content, (doc + self.docs).astype(np.int32), pos.astype(np.int32), count.astype(np.int32), did, row))
+        self.docs, self.bytes = self.docs + len(did), self.bytes + size
+        if self.bytes >= SETTLE_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            parts = [np.concatenate(x, -1) for x in zip(*self.parts, strict=True)]
+            self.clear()
+            yield from kept_here(*parts, *self.to)
 
 
 def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -240,35 +287,37 @@ def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def first_step(width: int, buckets: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(buckets, width, whole=False)
         for batch in tk.small_slices(batches):
             did, row = ids_of(batch)
             data, off = tk.buffer_of(batch.column(2))
             w = tk.Words(data, off, tk.SPACED)
             doc = w.doc
-            start, count, symbol, content = groups(tk.span_hashes(data, w.start, w.end), w.first, doc, width)
+            start, count, symbol, content = groups(Hashes(data, w), w.first, doc, width)
             own = doc[start]
-            yield from kept_here(symbol, content, own, start - w.first[own], count, did, row, buckets, width, whole=False)
+            yield from held.add(symbol, content, own, start - w.first[own], count, did, row, len(data))
+        yield from held.flush()
 
     return run
 
 
 def second_step(width: int, buckets: int) -> callable:
-    """Windows of the open groups, one by one: the key and the content are two hashes of the window."""
+    """Windows of the open groups, one by one: the content is the window's, the key a hash of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(3).is_valid())
-            for batch in tk.small_slices(iter([batch])):
-                did, row = ids_of(batch)
-                data, off = tk.buffer_of(batch.column(2))
-                w = tk.Words(data, off, tk.SPACED)
-                total = tk.sums(tk.span_hashes(data, w.start, w.end))
-                starts, counts = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (3, 4))
-                own = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
-                own, pos = np.repeat(own, counts), np.repeat(starts, counts) + tk.ranges(counts)
-                at = w.first[own] + pos
-                key, content = (tk.sequence_hashes(total, at, at + width, seed) for seed in (21, 22))
-                yield from kept_here(key, content, own, pos, np.ones(len(pos), np.int64), did, row, buckets, width, whole=True)
+        held = Held(buckets, width, whole=True)
+        for batch in tk.small_slices(b.filter(b.column(3).is_valid()) for b in batches):
+            did, row = ids_of(batch)
+            data, off = tk.buffer_of(batch.column(2))
+            w = tk.Words(data, off, tk.SPACED)
+            hashes = Hashes(data, w)
+            starts, counts = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (3, 4))
+            own = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
+            own, pos = np.repeat(own, counts), np.repeat(starts, counts) + tk.ranges(counts)
+            at = w.first[own] + pos
+            content = hashes.both(at, at + width, 21)
+            yield from held.add(tk.mix(content[0] + tk.mix(content[1])), content, own, pos, np.ones(len(pos), np.int32), did, row, len(data))
+        yield from held.flush()
 
     return run
 
@@ -277,11 +326,12 @@ def met(width: int, buckets: int) -> callable:
     """Settles the rows of each bucket; what tasks have settled already passes through."""
 
     def resolve(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, content, did, row, pos, count = map(np.concatenate, zip(*map(unpack, blocks), strict=True))
-        order, repeat, unlike = settle(key, content, did, count == 0)
+        key, one, two, did, row, pos, count = map(np.concatenate, zip(*map(unpack, blocks), strict=True))
+        order, repeat, unlike = settle(key, (one, two), did, count == 0)
         did, row, pos, count = (x[order] for x in (did, row, pos, count))
+        end = pos + count + (width - 1)
         gone = repeat & (count > 0)
-        yield from by_document(REMOVED, did[gone], row[gone], pos[gone], (pos + count + width - 1)[gone], buckets)
+        yield from by_document(REMOVED, did[gone], row[gone], pos[gone], end[gone], buckets)
         open_ = unlike & ~repeat & (count > 0)
         yield from by_document(OPEN, did[open_], row[open_], pos[open_], count[open_], buckets)
 
