@@ -7,8 +7,9 @@ for prefix shingles only; a hit gives the window's place, which must lie in the
 (length and position bounds), and all its words are then compared.
 
 The benchmark's index is built and broadcast in blocks of at most `block_windows`
-windows, which bounds what driver and executors hold of it however large it is; each
-text is held against one block after the other.
+windows, which bounds what driver and executors hold of it however large it is; a long
+item is spread over blocks, its pieces sharing n - 1 words. Some texts at a time are held
+against one block after the other.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 FLAG_BITS = 20
+#: Slices of text that are held against a block before the next block is loaded.
+SLICES_AT_ONCE = 8
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, hit_start array<int>, hit_end array<int>"
 
 
@@ -55,20 +58,29 @@ class Keys:
 class Block:
     """Windows of some items: their words' hashes, lengths, items, and the shingles in each."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int, shingle: int):
-        w, h = words_of(pa.array([t for _, t in items], pa.string()))
-        self.n, windows = n, {}
-        for d, (item, _) in enumerate(items):
-            a, b = int(w.first[d]), int(w.first[d + 1])
-            size = min(n, b - a)
-            for i in range(a, b - size + 1) if size else ():
-                windows.setdefault(h[i : i + size].tobytes(), set()).add(item)
-        keys = sorted(windows)
-        self.items = [sorted(windows[k]) for k in keys]
-        self.length = np.array([len(k) // 8 for k in keys], np.int64)
-        self.words = np.zeros((len(keys), n), tk.U)
-        for i, k in enumerate(keys):
-            self.words[i, : len(k) // 8] = np.frombuffer(k, tk.U)
+    def __init__(self, items: list[tuple[str, np.ndarray]], n: int, shingle: int):
+        """items: their ids and the hashes of their words."""
+        self.n = n
+        h = np.concatenate([np.zeros(0, tk.U), *(x for _, x in items)])
+        first = np.concatenate([[0], np.cumsum([len(x) for _, x in items], dtype=np.int64)])
+        counts = np.diff(first)
+        long, short = tk.starts_within(first, n), first[:-1][(counts > 0) & (counts < n)]
+        start = np.concatenate([long, short])
+        own = np.searchsorted(first, start, "right") - 1
+        length = np.minimum(first[own + 1] - start, n)
+        length[: len(long)] = n
+        words = np.zeros((len(start), n), tk.U)
+        for k in range(n):
+            inside = np.flatnonzero(length > k)
+            words[inside, k] = h[start[inside] + k]
+        # equal windows are one, whose items are all that have it
+        order = np.lexsort((own, length, *words.T))
+        words, length, own = words[order], length[order], own[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (words[1:] != words[:-1]).any(1) | (length[1:] != length[:-1])
+        at, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(own))[: new.sum()]
+        self.words, self.length = words[at], length[at]
+        self.items = [sorted({items[d][0] for d in own[a:b].tolist()}) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         #: shingle width -> (window, offset in it, hash) of every shingle
         self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in np.unique(self.length).tolist():
@@ -142,26 +154,40 @@ def loaded(b, alone: bool) -> Block:
     return b.value if alone or b._path is None else b.load_from_path(b._path)
 
 
-def overlaps(blocks: list, texts: pa.Array) -> tuple[tk.Words, np.ndarray, list[set[str]]]:
-    """The texts' words, which of them are hit, and each text's items."""
-    w, h = words_of(texts)
-    total = tk.sums(h)
-    edge, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(len(texts))]
+def overlaps(blocks: list, texts: list[pa.Array]) -> Iterator[tuple[tk.Words, np.ndarray, list[set[str]]]]:
+    """For each batch of texts their words, which of them are hit, and each text's items."""
+    held = []
+    for t in texts:
+        w, h = words_of(t)
+        held.append((w, h, tk.sums(h), np.zeros(len(h) + 1, np.int32), [set() for _ in range(len(t))]))
     for b in blocks:
         block = loaded(b, len(blocks) == 1)
-        start, win = matches(block, w, h, total)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + block.length[win], -1)
-        own = np.searchsorted(w.first, start, "right") - 1
-        for d, x in set(zip(own.tolist(), win.tolist(), strict=True)):
-            items[d].update(block.items[x])
-    return w, np.cumsum(edge[:-1]) > 0, items
+        for w, h, total, edge, items in held:
+            start, win = matches(block, w, h, total)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + block.length[win], -1)
+            own = np.searchsorted(w.first, start, "right") - 1
+            for d, x in set(zip(own.tolist(), win.tolist(), strict=True)):
+                items[d].update(block.items[x])
+    for w, _, _, edge, items in held:
+        yield w, np.cumsum(edge[:-1]) > 0, items
+
+
+def together(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[list[pa.RecordBatch]]:
+    """Slices in lists: of one block's texts one by one, else some at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in tk.small_slices(batches):
+        held.append(batch)
+        if len(held) >= (SLICES_AT_ONCE if len(blocks) > 1 else 1):
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def matched(blocks: list) -> callable:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.small_slices(batches):
-            w, hit, items = overlaps(blocks, batch.column(1))
+        for batch, (w, hit, items) in (x for held in together(batches, blocks) for x in zip(held, overlaps(blocks, [b.column(1) for b in held]), strict=True)):
             # maximal runs of hit words, cut where documents meet
             turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
             inner = w.first[1:-1]
@@ -180,11 +206,15 @@ def matched(blocks: list) -> callable:
 def item_blocks(items: DataFrame, n: int, shingle: int, block_windows: int) -> Iterator[Block]:
     own, size = [], 0
     for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").toLocalIterator():
-        own.append((row[0], row[1]))
-        size += 1 + len(row[1]) // 2
-        if size >= block_windows:
-            yield Block(own, n, shingle)
-            own, size = [], 0
+        _, h = words_of(pa.array([row[1]], pa.large_string()))
+        for a in range(0, max(len(h) - n + 1, 1), block_windows):
+            piece = h[a : a + block_windows + n - 1]
+            windows = max(len(piece) - n + 1, 1)
+            if own and size + windows > block_windows:
+                yield Block(own, n, shingle)
+                own, size = [], 0
+            own.append((row[0], piece))
+            size += windows
     if own or not size:
         yield Block(own, n, shingle)
 
@@ -192,9 +222,10 @@ def item_blocks(items: DataFrame, n: int, shingle: int, block_windows: int) -> I
 def benchmark_overlap(docs: DataFrame, items: DataFrame, n: int = 10, shingle: int = 3, block_windows: int = 1_000_000) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit, items, and the runs of hit words.
 
-    docs has doc_id and text, items item_id and text; other columns are ignored. A null or
-    empty text has no words and hits nothing; so does an item without words or with a null
-    id. Repeated rows of docs each give a row; repeated items count once by their id. Both
+    docs has doc_id and text, items item_id and text; other columns, whatever their names,
+    are ignored. A null or empty text has no words and hits nothing; so does an item without
+    words or with a null id. Repeated rows of docs, and rows without an id, each give a row;
+    repeated items count once by their id. A text's or an item's length has no bound. Both
     tables may be empty.
     """
     return docs.select("doc_id", "text").mapInArrow(matched(indexed(docs, items, n, shingle, block_windows)), SCHEMA)
@@ -215,18 +246,21 @@ def indexed(docs: DataFrame, items: DataFrame, n: int = 10, shingle: int = 3, bl
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no benchmark window, all columns: one pass, no shuffle."""
+    """The rows of docs that hold no benchmark window, all columns: one pass, no shuffle.
+
+    Null and empty texts hold none. Repeated rows stay or go together; either table may be empty.
+    """
     blocks, at = indexed(docs, items, **options), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.small_slices(batches):
-            w, hit, _ = overlaps(blocks, batch.column(at))
+        for batch, (w, hit, _) in (x for held in together(batches, blocks) for x in zip(held, overlaps(blocks, [b.column(at) for b in held]), strict=True)):
             yield batch.filter(pa.array(tk.per_doc(hit.astype(np.int64), w.first) == 0))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
 def op10(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The digest columns of benchmark_overlap(), which says what becomes of nulls, repeats, long texts and empty tables."""
     got = benchmark_overlap(docs, items)
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -10,8 +10,12 @@ verified on the shingle sets themselves.
 No step emits pairs. Buckets of candidates give the edges of a spanning forest, whose
 components bring together the texts that must be verified against each other; the task that
 verifies them gives each class's number of links and again a spanning forest. Buckets and
-components of over BLOCK classes are dealt as tiles, each two blocks of classes, so that no
-task holds more than 2 * BLOCK of them however large a group is.
+components of over BLOCK classes, or of over BLOCK_SHINGLES shingles, are dealt as tiles,
+each two blocks, so that no task holds more at once however large a group is; a single text
+of more shingles is a block's own.
+
+Texts are equal if the 128 bits of their MD5 are. A class is numbered once it is written,
+so that numbers, of 64 bits, are never shared.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 32
 BLOCK = 512
+#: Shingles of a block's texts, some eight bytes of text each.
+BLOCK_SHINGLES = 1 << 20
 PAIRS_AT_ONCE = 1 << 18
 FACTORS = tk.mix(np.arange(1, HASHES + 1, dtype=tk.U) * tk.U(0xC2B2AE3D27D4EB4F)) | tk.U(1)
 
@@ -84,7 +90,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, f in enumerate(FACTORS):
                 # of the smallest product some middle bits
                 sig[some, k] = (np.minimum.reduceat(h * f, first[some]) >> tk.U(12)).astype(np.uint16)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array([x.tobytes() if s else None for x, s in zip(sig, n.tolist(), strict=True)], pa.binary())], ["doc_id", "node", "n", "sig"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array([x.tobytes() if s else None for x, s in zip(sig, n.tolist(), strict=True)], pa.binary())], ["doc_id", "digest", "n", "sig"])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -117,10 +123,10 @@ def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, limits: list[tuple[
     return open_
 
 
-def pair_blocks(block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a tile's rows, some at a time: of one block all, of two those across."""
-    n = len(block)
-    crossing = n and block.min() != block.max()
+def pair_blocks(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a tile's rows, some at a time: of one block all, of two those across, none if one of the two is empty."""
+    block, n = column(t, "block"), t.num_rows
+    crossing = n and t.column("tile_i")[0] != t.column("tile_j")[0]
     i = 0
     while i < n - 1:
         j = i + max(1, PAIRS_AT_ONCE // n)
@@ -181,7 +187,7 @@ def candidate_forest(limits) -> callable:
                 continue
             sig, node = matrix(t.column("sig").combine_chunks()), column(t, "node")
             left = []
-            for a, b in pair_blocks(column(t, "block")):
+            for a, b in pair_blocks(t):
                 s = survivors(sig, a, b, limits)
                 left.append((a[s], b[s]))
             root = forest(len(node), left)
@@ -227,7 +233,7 @@ def verified(limits) -> callable:
             doc, h, _ = shingle_sets(t.column("text").combine_chunks())
             shared = shared_shingles(doc, h, len(node))
             keys, links, left = band_keys(sig), np.zeros(len(node), np.int64), []
-            for a, b in pair_blocks(column(t, "block")):
+            for a, b in pair_blocks(t):
                 # the pairs that buckets and pruning have left, of these the alike
                 s = survivors(sig, a, b, limits)
                 s = s[(keys[a[s]] == keys[b[s]]).any(1)]
@@ -244,12 +250,14 @@ def verified(limits) -> callable:
     return run
 
 
-def tiled(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """rows dealt to tiles of their group: columns tile_i, tile_j, and block, which of the group's blocks a row is in."""
+def tiled(rows: DataFrame, group: str, size: str, weight: str | None = None) -> DataFrame:
+    """rows dealt to tiles of their group: columns tile_i, tile_j, and block, which of the group's blocks a row is in. size counts the group's rows, weight its shingles."""
     blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.withColumns({"tile_i": F.least("block", "other"), "tile_j": F.greatest("block", "other")}).drop("other", size)
+    if weight:
+        blocks = F.greatest(blocks, F.least(F.ceil(F.col(weight) / BLOCK_SHINGLES), F.col(size)).cast("int"))
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"tile_i": F.least("block", "other"), "tile_j": F.greatest("block", "other")}).drop("other", "blocks", size, *([weight] if weight else []))
 
 
 def together(rows: DataFrame, group: str) -> DataFrame:
@@ -267,8 +275,9 @@ def near_links(docs: DataFrame) -> DataFrame:
     to, directly or over others; copy_of the smallest with the same text; n_links the number
     of other documents linked directly. A text of one to four words is one shingle. Texts
     without words, and null ones, link to nothing and are their own class. A null doc_id is
-    never a class's name if it has another. Repeated rows are copies of each other. An empty
-    table gives no rows. Columns other than doc_id and text are ignored.
+    never a class's name if it has another; rows without ids are linked as all others.
+    Repeated rows are copies of each other. Unlike texts under one id are held apart. An
+    empty table gives no rows. Columns other than doc_id and text are ignored.
 
     A pair is missed only if no band has agreed or pruning was wrong: at a likeness of 0.8,
     the least, with probabilities of 3e-6 and 1e-6.
@@ -276,25 +285,31 @@ def near_links(docs: DataFrame) -> DataFrame:
     signed, named = near_classes(docs)
     total = named.count()
     least = named.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("rows"))
-    named = lookup(named, least, "component", "rows", max(total, 1), "node").select("node", "copy_of", "class_id", "copies", "links")
+    named = lookup(named, least, "component", "rows", max(total, 1), "node").select("digest", "copy_of", "class_id", "copies", "links")
 
-    slim = signed.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    out = lookup(slim, named, "node", "copies", max(total, signed.count()), "doc_id")
+    slim = signed.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    out = lookup(slim, named, "digest", "copies", max(total, signed.count()), "doc_id")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and node, a hash that equal texts share."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.unhex(F.md5("text"))).alias("node"), "text")
+    """doc_id, digest and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest"), "text")
+
+
+def digest_of(text: str):
+    """128 bits that equal texts share; null for a null text."""
+    return F.unhex(F.md5(text))
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each row of docs doc_id, node and n, the number of its shingles; of each text with words node, copy_of, copies, links and component, the least node that links lead to."""
+    """Of each row of docs doc_id, digest and n, the number of its shingles; of each text with words node, digest, copy_of, copies, links and component, the least node that links lead to."""
     limits = least_matches()
     docs = keyed(docs)
-    signed = cut(docs.mapInArrow(signatures, "doc_id long, node long, n long, sig binary"))
+    signed = cut(docs.mapInArrow(signatures, "doc_id long, digest binary, n long, sig binary"))
     worded = signed.filter("n > 0")
-    classes = cut(worded.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = worded.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     total = classes.agg(F.count("*")).first()[0]
 
     banded = classes.select("node", "sig").mapInArrow(bands, "band long, node long")
@@ -303,20 +318,20 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.join(classes.select("node", "sig"), "node")
     edges = together(tiled(members, "band", "rows"), "band").mapInArrow(candidate_forest(limits), "u long, v long")
 
-    found = components(edges)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    grouped = lookup(found, sizes, "component", "size", max(total, 1), "node")
-    wanted = grouped.join(classes, "node").select(F.col("node").alias("_node"), "component", "size", "copies", "n", "sig", F.col("copy_of").alias("_id"))
+    found = components(edges).join(classes, "node")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    wanted = lookup(found, sizes, "component", "size", max(total, 1), "node")
+    wanted = wanted.select("node", "component", "size", "shingles", "copies", "n", "sig", F.col("copy_of").alias("wanted_id"), F.col("digest").alias("wanted_digest"))
     # of each class the text of one document; where ids repeat, or are null, of one with this class's text
-    texts = docs.dropDuplicates(["doc_id", "node"]) if repeats(signed, "doc_id", "node") else docs
-    texts = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")))
-    tiles = together(tiled(texts.select("node", "component", "size", "copies", "n", "sig", "text"), "component", "size"), "component")
+    texts = docs.dropDuplicates(["doc_id", "digest"]) if repeats(signed, "doc_id", "digest") else docs
+    texts = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest")))
+    tiles = together(tiled(texts.select("node", "component", "size", "shingles", "copies", "n", "sig", "text"), "component", "size", "shingles"), "component")
     links = cut(tiles.mapInArrow(verified(limits), "node long, links long, root long"))
 
     joined = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("node", "copy_of", "copies").join(joined, "node", "left").join(degree, "node", "left")
-    named = cut(named.select("node", "copy_of", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    named = classes.select("node", "digest", "copy_of", "copies").join(joined, "node", "left").join(degree, "node", "left")
+    named = cut(named.select("node", "digest", "copy_of", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
     return signed, named
 
 
@@ -326,18 +341,24 @@ def repeats(rows: DataFrame, *key: str) -> bool:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class the row with the smallest doc_id, all columns. A row whose id is null stays only if its class has no other; of repeated rows, those of one id and text, one stays.
+    """Of each class the row with the smallest doc_id, all columns; of equal ids that with the smallest digest.
 
-    A class is known by its texts, as unlike texts may share an id, or have none.
+    A class is known by its texts, as unlike texts may share an id, or have none. A row whose
+    id is null stays only if its class has no other. Of repeated rows, those of one id and
+    text, one stays, with one row's other columns. Texts without words and null ones are
+    classes of their own: one row of each id and text stays. An empty table stays empty;
+    other columns may have any names.
     """
     signed, named = near_classes(docs)
-    least = F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "node")).alias("least")
-    seen = named.groupBy("component").agg(least).select(F.col("least.copy_of").alias("_id"), F.col("least.node").alias("_node"))
-    seen = seen.unionByName(signed.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct())
-    rows = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.unhex(F.md5("text")))})
-    kept = rows.join(seen.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")), "left_semi")
-    kept = kept.dropDuplicates(["_doc", "_text"]) if repeats(signed, "doc_id", "node") else kept
-    return kept.select(*docs.columns)
+    seen = named.groupBy("component").agg(F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "digest")).alias("least"))
+    seen = seen.select("least.copy_of", "least.digest").unionByName(signed.filter("n = 0").select(F.col("doc_id").alias("copy_of"), "digest").distinct())
+    seen = seen.select(F.col("copy_of").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("own_id"), digest_of("row.text").alias("own_digest"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("own_digest").eqNullSafe(F.col("kept_digest"))
+    kept = rows.join(seen.hint("shuffle_hash"), same, "left_semi")
+    kept = kept.dropDuplicates(["own_id", "own_digest"]) if repeats(signed, "doc_id", "digest") else kept
+    return kept.select("row.*")
 
 
 def op6(docs: DataFrame) -> DataFrame:

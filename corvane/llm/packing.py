@@ -5,7 +5,8 @@ fit, decreasing. Bins that are nearly full are done. The others become items the
 a tree of rounds brings the underfull bins of `fan_in` groups together and packs them by
 best fit again, until one group is left or nothing is underfull. A round moves only bins
 (an id, a fill and which first-round bins they hold), never tokens. When few are left, all
-meet in one group; how many may is a parameter, beyond which a group keeps its own rest.
+meet in one group; how many may is a parameter, beyond which a group is packed in parts,
+whose rests are dealt anew and packed again while that leaves fewer.
 """
 
 from __future__ import annotations
@@ -28,58 +29,51 @@ from .shared import cut
 UNSAFE = re.compile(r"\s ")
 CACHE_ENTRIES = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long, bin_fill int, grp long"
+#: A worker's encoders by path: a vocabulary is read once, and what is cached serves all of its tasks.
+ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts as little-endian 32-bit bytes, those of the library `tokenizers`; as a dict, those of a space and a key.
 
     A byte-level BPE whose pattern never joins a letter, digit or sign with white space
     after it gives a text's ids piece by piece, cut before single spaces; the pieces' ids
-    are kept, to a fixed number of entries.
+    are kept, to a fixed number of entries. Other texts, and texts with the string of a
+    special token, which stands for that token, are encoded whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        import tiktoken
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        self.model = model
-        # the same vocabulary and pattern in the library that encodes faster
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        chars = byte_characters()
-        ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if all(c in chars for c in t)}
-        ranks.pop(b"<|endoftext|>", None)
-        import public_tokenizers
-
-        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.model = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.fast.encode_ordinary(piece), "<u4").tobytes()
+        ids = self.ids(" " + piece)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[piece] = ids
         return ids
 
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if UNSAFE.search(text):
-            return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
-        head, *rest = text.split(" ")
-        get = self.__getitem__
-        return b"".join([get(head) if head else b"", *[get(x) for x in map(" ".__add__, rest)]])
+        if UNSAFE.search(text) or any(x in text for x in self.added):
+            return self.ids(text)
+        pieces = text.split(" ")
+        ids = list(map(self.__getitem__, pieces))
+        ids[0] = self.ids(pieces[0]) if pieces[0] else b""
+        return b"".join(ids)
 
 
-def byte_characters() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+def encoder_of(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,10 +106,9 @@ def tokenised(path: str, capacity: int, end_id: int) -> callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, group = None, TaskContext.get().partitionId()
+        encoder, group = encoder_of(path), TaskContext.get().partitionId()
         cols: list[list] = [[], [], [], [], []]
         for batch in batches:
-            encoder = encoder or Encoder(path)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
@@ -156,9 +149,13 @@ BINS = "bin long, fill int, members array<long>, offsets array<long>, grp long"
 def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, nearly_full: float = 0.995, fan_in: int = 8, most_in_group: int = 500_000) -> DataFrame:
     """For each piece of each document: its ids' place and CRC-32, its sequence and offset.
 
-    A null text counts as empty, which is one token, end_id; repeated rows are packed once
-    each. An empty table gives no rows. Columns other than doc_id and text are ignored.
-    Ids of the special tokens' strings in a text are those of ordinary text.
+    A null text counts as empty, which is one token, end_id; repeated rows and rows of one
+    id are packed once each. A very long text is cut into pieces like any other. An empty
+    table gives no rows. Columns other than doc_id and text are ignored, whatever their
+    names. A special token's string in a text is that token.
+
+    A group of more than most_in_group open bins is packed in parts. Parts' rests meet again,
+    dealt anew, for as long as that leaves fewer bins.
     """
     docs = docs.select("doc_id", "text")
     pieces = cut(docs.mapInArrow(tokenised(tokenizer, capacity, end_id), PIECES))
@@ -166,21 +163,20 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     bins = pieces.groupBy("bin").agg(F.first("bin_fill").alias("fill"), F.first("grp").alias("grp"))
     open_bins = bins.filter(F.col("fill") < limit).select("bin", "fill", F.array("bin").alias("members"), F.array(F.lit(0).cast("long")).alias("offsets"), "grp")
     groups = (pieces.agg(F.max("grp")).first()[0] or 0) + 1
-    done = []
-    while groups > 1:
-        groups = math.ceil(groups / fan_in)
-        # a group that has gathered many bins has no need of more: it is packed in parts
-        part = F.floor(F.col("rows") / most_in_group) + 1
+    moved, salt, left = None, 0, None
+    while groups > 1 or left is not None:
+        groups, salt = math.ceil(groups / fan_in), salt + 1
         sized = open_bins.withColumn("grp", F.floor(F.col("grp") / fan_in))
         counts = sized.groupBy("grp").agg(F.count("*").alias("rows"))
-        sized = sized.join(F.broadcast(counts), "grp").withColumn("part", F.pmod(F.xxhash64("bin"), part)).drop("rows")
+        part = F.floor(F.col("rows") / most_in_group) + 1
+        sized = sized.join(F.broadcast(counts), "grp").withColumn("part", F.pmod(F.xxhash64("bin", F.lit(salt)), part)).drop("rows")
         packed = cut(sized.groupBy("grp", "part").applyInPandas(repacked(capacity), BINS))
-        last = groups == 1
-        done.append(packed if last else packed.filter(F.col("fill") >= limit))
-        open_bins = packed.filter(F.col("fill") < limit)
-    moved = None
-    for d in done:
-        moved = d if moved is None else moved.unionByName(d)
+        # how many are open, and whether some group was too large for one part
+        still, most = packed.filter(F.col("fill") < limit).count(), counts.agg(F.max("rows")).first()[0] or 0
+        again = groups == 1 and most >= most_in_group and (left is None or still < left)
+        done = packed if groups == 1 and not again else packed.filter(F.col("fill") >= limit)
+        moved = done if moved is None else moved.unionByName(done)
+        open_bins, left = packed.filter(F.col("fill") < limit), still if again else None
     if moved is None:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("bin_offset").alias("offset"))
     place = moved.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("members", "offsets")).alias("m")).select("sequence_id", F.col("m.members").alias("bin"), F.col("m.offsets").alias("base"))

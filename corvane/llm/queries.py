@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.op1(table(spark, sf_dir, "documents"))
+    return pseudonyms.op1(table(spark, sf_dir, "documents"), spark.conf.get(pseudonyms.KEY_SETTING, None) or pseudonyms.DEMO_KEY)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

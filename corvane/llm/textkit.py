@@ -155,7 +155,7 @@ LONG_WORD = 64
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each byte span, eight bytes a step; hashes of unlike seeds have nothing in common."""
     size = end - start
-    h = mix(size.astype(U) + U(seed) * BASE)
+    h = mix(size.astype(U) + U(seed * int(BASE) % (1 << 64)))
     eight = np.lib.stride_tricks.as_strided(padded := np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
     at = np.flatnonzero((size > 0) & (size <= LONG_WORD))
     done = 0

@@ -243,20 +243,52 @@ def writer(folder: str) -> callable:
     return run
 
 
-def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rows_of(archive: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """An archive's records, some at a time."""
     names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    rows, size = [], 0
+    for data in frames(content):
+        rows.append({"archive": archive} | parse(data))
+        size += len(data)
+        if size >= 4 << 20 or len(rows) >= 5000:
+            yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
+            rows, size = [], 0
+    if rows:
+        yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
+
+
+def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (archive, content)."""
     for batch in batches:
         for archive, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows, size = [], 0
-            for data in frames(content.as_buffer().to_pybytes()):
-                rows.append({"archive": archive.as_py()} | parse(data))
-                size += len(data)
-                if size >= 8 << 20 or len(rows) >= 5000:
-                    yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
+            yield from rows_of(archive.as_py(), content.as_buffer().to_pybytes())
+
+
+def opener(folder: str) -> callable:
+    """Of rows (archive, records, bytes), whose archives are in the folder: each must be there and have its size and number of records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for archive, records, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    with store.open_input_stream(f"{root}/{archive}", compression=None) as f:
+                        content = f.read()
+                except FileNotFoundError as e:
+                    raise WarcError(f"{archive} is missing") from e
+                if len(content) != size:
+                    raise WarcError(f"{archive} has {len(content)} bytes, not {size}")
+                n = 0
+                for out in rows_of(archive, content):
+                    n += out.num_rows
+                    yield out
+                if n != records:
+                    raise WarcError(f"{archive} has {n} records, not {records}")
+
+    return run
 
 
 def revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -281,12 +313,16 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str, archives: DataFrame | None = None) -> DataFrame:
-    """The records of the folder's archives; only of those that `archives` names, if given. A damaged archive fails the query."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    if archives is not None:
-        files = files.join(archives.select("archive"), "archive", "left_semi")
-    return files.select("archive", "content").mapInArrow(reader, READ_SCHEMA)
+    """The records of the folder's archives; of those that `archives` lists, as write() does, if given.
+
+    A damaged archive fails the query. So does a listed one that is missing, or whose size or
+    number of records isn't the listed one. Only the list is shuffled, not what archives hold.
+    """
+    if archives is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(reader, READ_SCHEMA)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("archive", "records", "bytes").repartition(parts, "archive").mapInArrow(opener(folder), READ_SCHEMA)
 
 
 def new_folder(spark: SparkSession) -> str:

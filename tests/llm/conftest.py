@@ -23,3 +23,13 @@ def edge_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(edge_docs):
     return edge_docs.filter("false")
+
+
+@pytest.fixture(scope="session")
+def long_docs(spark):
+    """Texts beyond a slice: one of 150,000 words, a near copy and a part of it, one word of a megabyte, and short ones."""
+    rng = random.Random(9)
+    words = [f"u{i}é{i % 7}" for i in range(30_000)]
+    text = " ".join(rng.choice(words) for _ in range(150_000))
+    rows = [(1, text), (2, text[: len(text) // 3]), (3, text + " one more word"), (4, "x" * 1_200_000 + " and " + prose(rng, 50)), (5, prose(rng, 50)), (6, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import packing, warc
 
@@ -33,6 +34,22 @@ def test_payloads_come_back(spark):
     assert back == {i: html[i] for i in back} and set(back) == {3, 4, 5, 6, 7, 8}
 
 
+def test_ties_nulls_and_repeated_pages(spark):
+    rows = [(1, "u", "a" * 1500), (1, "u", "a" * 1500), (9, "v", "a" * 1500), (9, "w", "a" * 1500), (None, "x", "a" * 1500), (None, None, "b" * 1500), (None, None, "b" * 1500), (2, "u", "b" * 10), (2, "u", "b" * 10)]
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op3(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect())
+    assert got == Counter({(1, 1500, "revisit", 9): 2, (9, 1500, "response", None): 2, (None, 1500, "revisit", 9): 1, (None, 1500, "response", None): 2, (2, 10, "response", None): 2})
+
+
+def test_reading_holds_archives_against_the_list(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    folder = warc.new_folder(spark)
+    written = warc.write(warc.revisits(pages), folder)
+    assert warc.read(spark, folder, written).count() == len(PAGES) == warc.read(spark, folder).count()
+    for bad in (written.withColumn("records", F.col("records") + 1), written.withColumn("bytes", F.col("bytes") - 1), written.withColumn("archive", F.concat("archive", F.lit("x")))):
+        with pytest.raises(Exception, match="WarcError"):
+            warc.read(spark, folder, bad).count()
+
+
 def records(n=300):
     return [warc.record(i, f"http://x/{i}", (b"<p>%d</p>" % i) * 40, hashlib.sha1((b"<p>%d</p>" % i) * 40).hexdigest(), len((b"<p>%d</p>" % i) * 40), None, False) for i in range(n)]
 
@@ -62,7 +79,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -91,6 +107,29 @@ def test_packing(spark, edge_docs, reference_ids, parts):
     assert len(by) <= -(-total // 1024) + 2
 
 
+def test_parts_of_a_large_group_meet_again(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(40)
+    path = packing.default_tokenizer()
+    whole = packing.pack_sequences(docs, path).cache()
+    parts = packing.pack_sequences(docs, path, most_in_group=60).cache()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert not whole.select(key).exceptAll(parts.select(key)).count() and whole.count() == parts.count()
+    fills = parts.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert not fills.filter("n <> end or n > 1024").count()
+    least = -(-whole.agg(F.sum("length")).first()[0] // 1024)
+    n, m = whole.select("sequence_id").distinct().count(), fills.count()
+    assert least <= n <= 1.03 * least + 2 and n <= m <= 1.03 * n + 2
+
+
+def test_packing_of_long_texts(long_docs, reference_ids):
+    rows = packing.op9(long_docs).collect()
+    for r in long_docs.collect():
+        ids = [*reference_ids(r.text), 2]
+        own = sorted((x.piece, x.start, x.length, x.ids_crc32) for x in rows if x.doc_id == r.doc_id)
+        assert sum(x[2] for x in own) == len(ids)
+        assert all(c == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for _, a, n, c in own)
+
+
 def test_packing_no_rows(spark, no_docs):
     assert packing.op9(no_docs).count() == 0
 

@@ -1,13 +1,17 @@
 """Repeats, near duplicates, benchmark windows and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, fingerprint, nearjoin, repeats
+from corvane.llm import textkit as tk
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +56,67 @@ def test_repeats_on_driver_rows_however_they_are_dealt(spark):
         assert Counter(map(tuple, repeats.remove_repeats(docs.repartition(parts)).collect())) == repeats_by_force(rows, 13)
 
 
+def test_repeats_of_long_texts(long_docs):
+    rows = [tuple(r) for r in long_docs.collect()]
+    assert Counter(map(tuple, repeats.op2(long_docs).collect())) == repeats_by_force(rows, 13)
+
+
+def in_process(rows, width):
+    """The operator's steps one after another, without Spark: per row the words that go."""
+    batch = pa.record_batch([pa.array([id_key(i) for i, _ in rows]), pa.array(range(len(rows)), pa.int64()), pa.array([t for _, t in rows], pa.large_string())], ["did", "row", "text"])
+    parts = [batch.slice(k, 2) for k in range(0, len(rows), 2)]
+
+    def meet(found):
+        table = pa.Table.from_batches(list(found)).sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        return list(repeats.met(width, 4)(iter(table.to_batches(max_chunksize=3))))
+
+    def spans(batches, kind):
+        out = defaultdict(list)
+        for b in batches:
+            for k, r, a, z in zip(*(b.column(n).to_pylist() for n in ("kind", "row", "starts", "ends")), strict=True):
+                if k == kind:
+                    out[r] += zip(a, z, strict=True)
+        return out
+
+    found = meet(x for p in parts for x in repeats.first_step(width, 4)(iter([p])))
+    open_ = spans(found, repeats.OPEN)
+    lists = [pa.array([[x[j] for x in open_[r]] if r in open_ else None for r in range(len(rows))], pa.list_(pa.int32())) for j in (0, 1)]
+    again = pa.record_batch([*batch.columns, *lists], ["did", "row", "text", "starts", "ends"])
+    gone = [spans(found, repeats.REMOVED), spans(meet(repeats.second_step(width, 4)(iter([again]))), repeats.REMOVED)]
+    return [{w for s in gone for a, z in s[r] for w in range(a, z)} for r in range(len(rows))]
+
+
+@pytest.mark.parametrize("broken", [None, 1, 2])
+def test_repeats_need_both_families_of_hashes(monkeypatch, broken):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(60)))) for i in range(40)]
+    rows += [(50, rows[3][1]), (51, rows[3][1] + " a b"), (52, "x " + rows[5][1])]
+    true = tk.word_hashes
+    # one family in which all words, and so all sequences of one length, are the same
+    monkeypatch.setattr(tk, "word_hashes", lambda d, a, b, seed: np.full(len(a), 7, tk.U) if seed == broken else true(d, a, b, seed))
+    got = in_process(rows, 5)
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 4):
+            first[tuple(w[j : j + 5])] = min(first.get(tuple(w[j : j + 5]), 1 << 60), i)
+    want = [{p for j in range(len(w) - 4) if first[tuple(w[j : j + 5])] < i for p in range(j, j + 5)} for i, w in ((i, t.split()) for i, t in rows)]
+    assert got == want
+
+
+def test_word_hashes_depend_on_all_bytes_and_the_seed():
+    rng = np.random.default_rng(2)
+    words = [b"", b"a", b"b", b"a\0", *(bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (7, 8, 9, 16, 63, 64, 65, 200))]
+    words += [w[:-1] + bytes([w[-1] ^ 1]) for w in words[4:]]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    a, b = (tk.word_hashes(data, start, end, s) for s in (1, 2))
+    assert len(set(a.tolist()) | set(b.tolist())) == 2 * len(words)
+    other = tk.word_hashes(np.concatenate([np.full(3, 9, np.uint8), data]), start + 3, end + 3, 1)
+    assert (a == other).all()
+
+
 def test_no_rows_give_no_rows(spark, no_docs):
     assert repeats.op2(no_docs).count() == 0
     assert nearjoin.op6(no_docs).count() == 0
@@ -94,11 +159,18 @@ def test_near_links_are_those_of_brute_force(spark, edge_docs):
     assert Counter(map(tuple, got)) == near_by_force(rows)
 
 
-def test_near_links_over_tiles(spark, monkeypatch):
+def test_near_links_of_long_texts(long_docs):
+    rows = [tuple(r) for r in long_docs.collect()]
+    got = nearjoin.op6(long_docs).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == near_by_force(rows)
+
+
+@pytest.mark.parametrize("limit", [("BLOCK", 4), ("BLOCK_SHINGLES", 300)])
+def test_near_links_over_tiles(spark, monkeypatch, limit):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     near = docs.filter("doc_id < 6").select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "*").select((F.col("doc_id") * 100 + F.col("k") + 5000).alias("doc_id"), F.concat("text", F.lit(" z"), F.col("k").cast("string")).alias("text"))
     docs = docs.unionByName(near)
-    monkeypatch.setattr(nearjoin, "BLOCK", 4)
+    monkeypatch.setattr(nearjoin, *limit)
     rows = [tuple(r) for r in docs.collect()]
     got = nearjoin.op6(docs).select("doc_id", "class_id", "n_links").collect()
     assert Counter(map(tuple, got)) == near_by_force(rows)
@@ -119,8 +191,11 @@ def test_near_links_of_copies_without_ids(spark):
 def test_one_of_each_class_stays(spark, edge_docs):
     kept = nearjoin.one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
-    classes = {r.class_id for r in nearjoin.op6(edge_docs).collect()}
-    assert sorted(kept.select("doc_id").toPandas()["doc_id"].dropna().astype(int)) == sorted(x for x in classes if x is not None)
+    classes = Counter({r.class_id for r in nearjoin.op6(edge_docs).collect()})
+    assert Counter(r.doc_id for r in kept.collect()) == classes
+    clash = edge_docs.withColumnsRenamed({"source": "own_id", "did": "kept_digest"}).withColumn("row", F.lit("r"))
+    assert nearjoin.one_of_each(clash).columns == clash.columns and nearjoin.one_of_each(clash).count() == kept.count()
+    assert nearjoin.one_of_each(edge_docs.filter("false")).count() == 0
 
 
 def test_unlike_texts_stay_under_null_and_repeated_ids(spark):
@@ -163,6 +238,15 @@ def overlap_by_force(docs, items, n=10):
     return Counter(out)
 
 
+def test_benchmark_overlap_of_long_texts_and_items(spark, long_docs):
+    rows = [tuple(r) for r in long_docs.collect()]
+    words = rows[[r[0] for r in rows].index(1)][1].split(" ")
+    items = [(1, " ".join(words[5000:9000])), (2, " ".join(words[100:120])), (3, "none of this"), (4, words[7])]
+    got = decontaminate.benchmark_overlap(long_docs, spark.createDataFrame(items, "item_id long, text string"), block_windows=700)
+    want = overlap_by_force(rows, items)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), decontaminate.digest_of(r["items"]), r.n_hit > 0) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("block_windows", [1_000_000, 40])
 def test_benchmark_overlap_is_that_of_brute_force(spark, edge_docs, block_windows, monkeypatch):
     docs = edge_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
