@@ -11,6 +11,7 @@ whose rests are dealt anew and packed again while that leaves fewer.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -23,51 +24,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .shared import cut
 
-#: A space after white space: only there can a cut before a space change the tokens.
-UNSAFE = re.compile(r"\s ")
-CACHE_ENTRIES = 400_000
+#: Where a cut before a single space could change the tokens: after white space, and at a text's ends.
+UNSAFE = re.compile(r"\s |\A | \Z")
+KNOWN_WORDS, WORDS_AT_ONCE = 1 << 20, 1 << 10
+#: Text that is encoded at once.
+ENCODE_BYTES = 2 << 20
+BETWEEN_SPACES = tk.word_bytes(b" ")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long, bin_fill int, grp long"
-#: A worker's encoders by path: a vocabulary is read once, and what is cached serves all of its tasks.
+#: A worker's encoders by path: a vocabulary is read once, and the words that are known serve all of its tasks.
 ENCODERS: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes, those of the library `tokenizers`; as a dict, those of a space and a key.
+class Encoder:
+    """Ids of texts, those of the library `tokenizers`.
 
     A byte-level BPE whose pattern never joins a letter, digit or sign with white space
-    after it gives a text's ids piece by piece, cut before single spaces; the pieces' ids
-    are kept, to a fixed number of entries. Other texts, and texts with the string of a
-    special token, which stands for that token, are encoded whole.
+    after it gives a text's ids word by word, cut before single spaces. A word's ids are
+    kept under 128 bits of its hashes, in arrays; a text is a gather from them. New words
+    are encoded many at once, with a special token between them, across which nothing is
+    merged. Other texts, texts with the string of a special token, which stands for that
+    token, and those of tokenizers of other kinds are encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.ids(" " + piece)
-        if len(self) >= CACHE_ENTRIES:
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        cut = said.get("pre_tokenizer") or {}
+        self.by_word = not said.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        added = self.model.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.mark = next(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.by_word = self.by_word and self.mark is not None
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.others = np.zeros(0, tk.U), np.zeros(0, tk.U)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        # as encode(), but without the places of tokens in the text
+        return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, keys: np.ndarray, others: np.ndarray, place: np.ndarray, words: list[str]) -> None:
+        number, mark = self.mark
+        found = [self.whole(mark.join([*words[a : a + WORDS_AT_ONCE], ""])) for a in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.concatenate(found)
+        count = np.diff(np.flatnonzero(ids == number), prepend=-1) - 1
+        self.start = np.insert(self.start, place, len(self.flat) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, place, count)
+        self.keys, self.others = np.insert(self.keys, place, keys), np.insert(self.others, place, others)
+        self.flat = np.concatenate([self.flat, ids[ids != number]])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.keys) > KNOWN_WORDS:
             self.clear()
-        self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if UNSAFE.search(text) or any(x in text for x in self.added):
-            return self.ids(text)
-        pieces = text.split(" ")
-        ids = list(map(self.__getitem__, pieces))
-        ids[0] = self.ids(pieces[0]) if pieces[0] else b""
-        return b"".join(ids)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and self.by_word and not UNSAFE.search(t) and not any(x in t for x in self.added)]
+        data, off = tk.buffer_of(pa.array([texts[i] for i in plain], pa.large_string()))
+        w = tk.Words(data, off, BETWEEN_SPACES)
+        key, other = tk.word_hashes(data, w.start, w.end, 1), tk.word_hashes(data, w.start, w.end, 2)
+        # a text's first word has no space before it
+        first = w.first[:-1]
+        key[first], other[first] = tk.mix(key[first]), tk.mix(other[first])
+        at_start = np.zeros(len(key), bool)
+        at_start[first] = True
+        keys, place, which = np.unique(key, return_index=True, return_inverse=True)
+        others = other[place]
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        new = np.flatnonzero(~old)
+        if len(new):
+            spans = zip(w.start[place[new]].tolist(), w.end[place[new]].tolist(), at_start[place[new]].tolist(), strict=True)
+            raw = data.tobytes()
+            self.learn(keys[new], others[new], at[new], [("" if s else " ") + raw[a:b].decode() for a, b, s in spans])
+            at = np.searchsorted(self.keys, keys)
+        row = at[which]
+        count = self.count[row]
+        ids = self.flat[np.repeat(self.start[row], count) + tk.ranges(count)]
+        # of words that share half of their hash only one is known
+        wrong = set(np.searchsorted(w.first, np.flatnonzero(self.others[row] != other), "right") - 1) if len(row) else set()
+        bound = np.concatenate([[0], np.cumsum(count)])[w.first].tolist()
+        for j, i in enumerate(plain):
+            if j not in wrong:
+                out[i] = ids[bound[j] : bound[j + 1]]
+        return [x if x is not None else self.whole(t) if t else np.zeros(0, np.uint32) for x, t in zip(out, texts, strict=True)]
 
 
 def encoder_of(path: str) -> Encoder:
@@ -108,9 +157,9 @@ def tokenised(path: str, capacity: int, end_id: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, group = encoder_of(path), TaskContext.get().partitionId()
         cols: list[list] = [[], [], [], [], []]
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
+        for batch in tk.small_slices(batches, most=ENCODE_BYTES):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = own.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 bounds = [0, *range(first, n + 1, capacity)]
