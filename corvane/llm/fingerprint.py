@@ -115,5 +115,6 @@ def with_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFram
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """The columns of with_edited() as strings and likenesses; it says what becomes of nulls, ties, repeats and empty tables."""
     got = with_edited(docs)
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "next_id")

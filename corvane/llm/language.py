@@ -276,7 +276,7 @@ def span_lists(model: Model, first: np.ndarray, path: np.ndarray) -> pa.Array:
 
 
 def trained(docs: DataFrame, modulus: int = 4, remainder: int = 2, most: int = 600) -> Model:
-    """A model of the rows that have a language and aren't held out, at most about `most` of each."""
+    """A model of the rows that have a language and aren't held out, at most about `most` of each and wordgrams.TRAINING_BYTES of text."""
     known = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder))
     some = wg.sample(known.select("doc_id", "lang", "text"), "lang", most, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
     return wg.fitted(some.filter("text is not null"), lambda x: Model(x["text"].tolist(), x["lang"].tolist()))
@@ -332,4 +332,5 @@ def keep_identified(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """identify(), which says what becomes of nulls, long texts, repeats and empty tables."""
     return identify(docs)

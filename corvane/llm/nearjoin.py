@@ -362,4 +362,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """near_links(), which says what becomes of nulls, long texts, repeats and empty tables."""
     return near_links(docs)

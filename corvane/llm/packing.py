@@ -240,4 +240,5 @@ def default_tokenizer() -> str:
 
 
 def op9(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """pack_sequences() with the given vocabulary, or the 50,257 byte pairs; it says what becomes of nulls, long texts, repeats and empty tables."""
     return pack_sequences(docs, tokenizer or default_tokenizer())

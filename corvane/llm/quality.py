@@ -168,9 +168,12 @@ def scored(model) -> callable:
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most: int = 2500) -> DataFrame:
     """doc_id, held_out and a score of 0 to 1 for each row of docs.
 
-    Trained on the labelled rows that aren't held out, at most about `most` of each label.
-    Null and empty texts are scored as a text without words. Repeated ids in labels count
-    once, their smallest label; rows with a null id or label teach nothing. Without two
+    Trained on the labelled rows that aren't held out, at most about `most` of each label
+    and wordgrams.TRAINING_BYTES of text; their MOST_WORDS most frequent words have vectors
+    of their own, the others their shape's. Every row is scored by its whole text, whatever
+    its length. Null and empty texts are scored as a text without words. Repeated ids in labels count
+    once, their smallest label; rows with a null id or label teach nothing. Repeated rows
+    and rows without an id are scored each; other columns, whatever their names, are ignored. Without two
     training rows of either label every score is the base rate. An empty table gives no rows.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -181,4 +184,5 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality() with predicted, 1 from a score of 0.3 on."""
     return quality(docs, labels).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

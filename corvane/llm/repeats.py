@@ -407,4 +407,5 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """remove_repeats(), which says what becomes of nulls, long texts, repeats and empty tables."""
     return remove_repeats(docs)

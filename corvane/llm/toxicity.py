@@ -109,8 +109,10 @@ def scored(model) -> callable:
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, most: int = 3000) -> DataFrame:
     """doc_id, held_out and a score of 0 to 1 for each row of docs.
 
-    Trained on the labelled rows that aren't held out, at most about `most` of each label.
-    Null and empty texts get the bias's score. Repeated ids in labels count once, their
+    Trained on the labelled rows that aren't held out, at most about `most` of each label
+    and wordgrams.TRAINING_BYTES of text. Every row is scored by its whole text, whatever its
+    length; repeated rows and rows without an id are scored each; other columns, whatever
+    their names, are ignored. Null and empty texts get the bias's score. Repeated ids in labels count once, their
     largest label; rows with a null id or label teach nothing. Without training rows of both
     labels every score is the base rate, or a half without any. An empty table gives no rows.
     """
@@ -122,4 +124,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxicity() with predicted, 1 from a score of 0.7 on."""
     return toxicity(docs, labels).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

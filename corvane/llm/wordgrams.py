@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkit as tk
 
@@ -71,16 +72,25 @@ def sample(rows: DataFrame, label: str, most: int, order: Column) -> DataFrame:
     return rows.filter(order < cut).orderBy(order, *rows.columns).limit(2 * most * max(len(n), 1))
 
 
-def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
-    """fit(rows) as one task does it; rows must be few, as sample() leaves them. They come sorted."""
+#: Bytes of text that a model is fitted on at most.
+TRAINING_BYTES = 64 << 20
+
+
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object], most_bytes: int = TRAINING_BYTES) -> object:
+    """fit(rows) as one task does it, on at most so many bytes of text: those rows that come first by their ids' hashes. They come sorted.
+
+    rows must be few, as sample() leaves them; the running sum of their sizes is one spillable pass.
+    """
     names, order = rows.columns, ["doc_id", "text"]
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = rows.select(*names, F.sum(F.octet_length("text")).over(before).alias("bytes_so_far")).filter(F.col("bytes_so_far") <= most_bytes).select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         frame = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({c: [] for c in names})
         yield pa.record_batch([pa.array([pickle.dumps(fit(frame.sort_values(order, ignore_index=True)))], pa.binary())], ["model"])
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    found = few.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(pd.DataFrame({c: [] for c in names}))
 
 
