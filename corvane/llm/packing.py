@@ -30,13 +30,14 @@ from .shared import cut
 
 #: Where a cut before a single space could change the tokens: after white space, and at a text's ends.
 UNSAFE = re.compile(r"\s |\A | \Z")
-KNOWN_WORDS, WORDS_AT_ONCE = 1 << 19, 1 << 10
+KNOWN_WORDS, WORDS_AT_ONCE = 1 << 20, 1 << 10
 #: Text that is encoded at once.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 2 << 20
 BETWEEN_SPACES = tk.word_bytes(b" ")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long, bin_fill int, grp long"
-#: A worker's encoders by path: a vocabulary is read once, and the words that are known serve all of its tasks.
+#: A worker's encoders by path: a vocabulary is read once, and the words that are known serve all of its tasks, until another operator runs there.
 ENCODERS: dict[str, Encoder] = {}
+tk.HELD["packing"] = ENCODERS.clear
 
 
 class Encoder:
@@ -66,45 +67,27 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        # hashes in order, with the places of what is known: of most words, and of the last ones
-        self.keys, self.place = np.zeros(0, tk.U), np.zeros(0, np.int32)
-        self.last_keys, self.last_place = np.zeros(0, tk.U), np.zeros(0, np.int32)
-        self.others, self.start, self.count = np.zeros(0, tk.U), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.keys, self.others = np.zeros(0, tk.U), np.zeros(0, tk.U)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each word's place; -1 if it isn't known."""
-        out = np.full(len(keys), -1, np.int32)
-        for known, place in ((self.keys, self.place), (self.last_keys, self.last_place)):
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                out = np.where(known[at] == keys, place[at], out)
-        return out
-
     def whole(self, text: str) -> np.ndarray:
         # as encode(), but without the places of tokens in the text
         return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, keys: np.ndarray, others: np.ndarray, words: list[str]) -> None:
+    def learn(self, keys: np.ndarray, others: np.ndarray, place: np.ndarray, words: list[str]) -> None:
         number, mark = self.mark
-        ids = np.concatenate([self.whole(mark.join([*words[a : a + WORDS_AT_ONCE], ""])) for a in range(0, len(words), WORDS_AT_ONCE)])
-        count = (np.diff(np.flatnonzero(ids == number), prepend=-1) - 1).astype(np.int32)
-        place = np.arange(len(self.others), len(self.others) + len(keys), dtype=np.int32)
-        self.others = np.concatenate([self.others, others])
-        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
-        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids[ids != number]])
-        merged = np.concatenate([self.last_keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.last_keys, self.last_place = merged[order], np.concatenate([self.last_place, place])[order]
-        if 4 * len(self.last_keys) > len(self.keys):
-            merged = np.concatenate([self.keys, self.last_keys])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.place = merged[order], np.concatenate([self.place, self.last_place])[order]
-            self.last_keys, self.last_place = self.last_keys[:0], self.last_place[:0]
+        found = [self.whole(mark.join([*words[a : a + WORDS_AT_ONCE], ""])) for a in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.concatenate(found)
+        count = np.diff(np.flatnonzero(ids == number), prepend=-1) - 1
+        self.start = np.insert(self.start, place, len(self.flat) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, place, count)
+        self.keys, self.others = np.insert(self.keys, place, keys), np.insert(self.others, place, others)
+        self.flat = np.concatenate([self.flat, ids[ids != number]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.others) > KNOWN_WORDS:
+        if len(self.keys) > KNOWN_WORDS:
             self.clear()
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if t and self.by_word and not UNSAFE.search(t) and not any(x in t for x in self.added)]
@@ -118,13 +101,15 @@ class Encoder:
         at_start[first] = True
         keys, place, which = np.unique(key, return_index=True, return_inverse=True)
         others = other[place]
-        at = self.find(keys)
-        new = np.flatnonzero(at < 0)
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        new = np.flatnonzero(~old)
         if len(new):
             spans = zip(w.start[place[new]].tolist(), w.end[place[new]].tolist(), at_start[place[new]].tolist(), strict=True)
             raw = data.tobytes()
-            self.learn(keys[new], others[new], [("" if s else " ") + raw[a:b].decode() for a, b, s in spans])
-            at = self.find(keys)
+            self.learn(keys[new], others[new], at[new], [("" if s else " ") + raw[a:b].decode() for a, b, s in spans])
+            at = np.searchsorted(self.keys, keys)
         row = at[which]
         count = self.count[row]
         ids = self.flat[np.repeat(self.start[row], count) + tk.ranges(count)]
@@ -175,7 +160,7 @@ def tokenised(path: str, capacity: int, end_id: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, group = encoder_of(path), TaskContext.get().partitionId()
         cols: list[list] = [[], [], [], [], []]
-        for batch in tk.small_slices(batches, most=ENCODE_BYTES):
+        for batch in tk.small_slices(batches, most=ENCODE_BYTES, keeps="packing"):
             for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = own.astype("<u4").tobytes() + end
                 n = len(ids) // 4

@@ -6,8 +6,10 @@ A batch's texts stay one UTF-8 buffer; words are byte spans in it. All hashes ar
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +85,31 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many bytes of text, or of one row."""
+#: What operators keep in a worker from task to task, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of text, or of one row.
+
+    A worker that has served other operators lets go of what they have kept, and at the end
+    gives back its free memory: workers are used again, and an executor has several.
+    """
+    for name, drop in HELD.items():
+        if name != keeps:
+            drop()
+    yield from sliced(batches, column, most)
+    trim()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
