@@ -1,8 +1,8 @@
 """Scans of generated C: every detector, builder and filter over the programs of ccases, with SQL that foretells its rows.
 
 A row of the table `part` becomes the program of one case: by its key the case, by its size
-the folder. One scan of all of them serves all queries of a session over one folder of
-tables; each query then reads its part of what the scan has written to the shared folder.
+the folder. Each query finds what it asks for in all of them, and no more; parts once found
+serve the session's later queries over the same folder of tables.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from .ccases import CASES
 from .functions import scalars as S
-from .operators import closure, report
+from .operators import graph, report
 from .plans import engine as plans
 from .plans import probes
 from .plans.registry import FRAGMENTS, TYPES
+from .plans.summaries import EDGES
 from .plans.verdicts import FLOW_FILTERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PARTS: dict[tuple[str, str], plans.Parts] = {}
 SCANS: dict[tuple[str, str], plans.Scan] = {}
 
 
@@ -36,13 +38,26 @@ def programs(part: DataFrame) -> DataFrame:
     return own.select(path.alias("path"), F.sha2(source, 256).alias("checksum"), S.line_count(source).alias("loc"), source.alias("source"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> plans.Parts:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in PARTS:
+        PARTS[key] = plans.Parts(programs(spread(spark.read.parquet(f"{sf_dir}/part.parquet"))))
+    return PARTS[key]
+
+
 def scan(spark: SparkSession, sf_dir: str) -> plans.Scan:
+    """The whole scan, with everything that the parts have."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in SCANS:
-        SCANS[key] = plans.scan_files(closure.cut(programs(spark.read.parquet(f"{sf_dir}/part.parquet"))))
+        SCANS[key] = parts(spark, sf_dir).whole()
     return SCANS[key]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes that make many, dealt to all tasks."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+
+
 # ---- what the cases must give, as SQL
 
 
@@ -76,19 +91,26 @@ def own(column: str) -> str:
 
 
 def register(name: str, build: Callable[[plans.Scan], DataFrame], sql: str) -> None:
+    """A query of the whole scan."""
     QUERIES[name] = lambda spark, sf_dir: build(scan(spark, sf_dir))
     ORACLE_SQL[name] = sql
 
 
+def register_part(name: str, build: Callable[[plans.Parts], DataFrame], sql: str) -> None:
+    """A query of a part."""
+    QUERIES[name] = lambda spark, sf_dir: build(parts(spark, sf_dir))
+    ORACLE_SQL[name] = sql
+
+
 # ---- events of each detector, over all files
 
 
-def detected(types: tuple[str, ...]) -> Callable[[plans.Scan], DataFrame]:
-    def of(s: plans.Scan) -> DataFrame:
+def detected(types: tuple[str, ...]) -> Callable[[plans.Parts], DataFrame]:
+    def of(s: plans.Parts) -> DataFrame:
         p = F.col("props")
         what = F.coalesce(p["category"], p["origin"], p["reason"], F.lit(""))
         variable = F.coalesce(p["variable"], p["mutex_a"], F.lit(""))
-        return s.events.filter(F.col("event_type").isin(*types)).select("path", "function", "event_type", F.col("line").cast("int").alias("line"), variable.alias("variable"), what.alias("category"))
+        return s.events(*types).select("path", "function", "event_type", F.col("line").cast("int").alias("line"), variable.alias("variable"), what.alias("category"))
 
     return of
 
@@ -110,8 +132,8 @@ def event_rows(types: tuple[str, ...], only: Callable[[list[str]], bool] = lambd
 
 
 for name, kinds in DETECTED.items():
-    register(name, detected(kinds), foretold(event_rows(kinds), EVENT_COLUMNS, EVENT_SQL))
-register("detect_interprocedural", lambda s: detected(("DEREFERENCE",))(s).filter("category = 'interprocedural'"), foretold(event_rows(("DEREFERENCE",), lambda w: w[5] == "interprocedural"), EVENT_COLUMNS, EVENT_SQL))
+    register_part(name, detected(kinds), foretold(event_rows(kinds), EVENT_COLUMNS, EVENT_SQL))
+register_part("detect_interprocedural", lambda s: detected(("DEREFERENCE",))(s).filter("category = 'interprocedural'"), foretold(event_rows(("DEREFERENCE",), lambda w: w[5] == "interprocedural"), EVENT_COLUMNS, EVENT_SQL))
 
 
 # ---- functions, variables, deeds and edges
@@ -121,40 +143,39 @@ def lists(kind: str) -> list[tuple]:
     return [(i, int(w[1]), *w[2:]) for i, w in facts_of("edges") if w[0] == kind]
 
 
-def edges_of(kind: str) -> Callable[[plans.Scan], DataFrame]:
-    return lambda s: s.edges.filter(F.col("edge_type") == kind).select("path", "function", F.col("line").cast("int").alias("line"), "src", "dst", "note")
+def edges_of(kind: str) -> Callable[[plans.Parts], DataFrame]:
+    return lambda s: s.edges(kind).select("path", "function", F.col("line").cast("int").alias("line"), "src", "dst", "note")
 
 
-EDGE_TYPES = ("CALL", "DATA_FLOW", "ALIAS", "OWNERSHIP_TRANSFER", "RELEASE", "PARAM_BINDING", "RETURN", "LOCK_ORDER", "GLOBAL_ACCESS")
-for kind in EDGE_TYPES:
+for kind in EDGES:
     rows = [(i, n, f, int(line), src, dst, note) for i, n, f, line, src, dst, note in lists(kind)]
     sql = foretold(rows, "function, line, src, dst, note", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line, {own('src')}, {own('dst')}, note FROM rows")
-    register(f"edges_{kind.lower()}", edges_of(kind), sql)
+    register_part(f"edges_{kind.lower()}", edges_of(kind), sql)
 
-register(
+register_part(
     "function_facts",
-    lambda s: s.facts.filter("record = 'function'").select("path", "function", F.col("kind").alias("return_type"), (F.col("note") == "static").alias("is_static"), F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), F.col("props")["params"].alias("params")),
+    lambda s: s.facts("function").filter("record = 'function'").select("path", "function", F.col("kind").alias("return_type"), (F.col("note") == "static").alias("is_static"), F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), F.col("props")["params"].alias("params")),
     foretold([(i, n, f, kind, static, int(a), int(b), params) for i, n, f, kind, static, a, b, params in lists("FUNCTION")], "function, return_type, static, line, end_line, params", f"SELECT path, {own('function')}, return_type, static = 'static' AS is_static, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, params FROM rows"),
 )
-register(
+register_part(
     "pointer_variables",
-    lambda s: s.facts.filter("record = 'variable'").select("path", "function", F.col("line").cast("int").alias("line"), F.col("src").alias("variable"), F.col("kind").alias("type"), F.col("note").alias("source")),
+    lambda s: s.facts("variable").filter("record = 'variable'").select("path", "function", F.col("line").cast("int").alias("line"), F.col("src").alias("variable"), F.col("kind").alias("type"), F.col("note").alias("source")),
     foretold([(i, n, f, int(line), v, kind.replace("_", " "), source) for i, n, f, line, v, kind, source in lists("VARIABLE")], "function, line, variable, type, source", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line, variable, type, source FROM rows"),
 )
-register(
+register_part(
     "function_deeds",
-    lambda s: s.facts.filter("record = 'deed'").select("path", "function", F.col("kind").alias("deed"), F.col("col").cast("int").alias("parameter"), F.col("src").alias("place"), F.col("note").alias("ways")),
+    lambda s: s.facts("deed").filter("record = 'deed'").select("path", "function", F.col("kind").alias("deed"), F.col("col").cast("int").alias("parameter"), F.col("src").alias("place"), F.col("note").alias("ways")),
     foretold([(i, n, f, deed, int(at), place, ways) for i, n, f, deed, at, place, ways in lists("DEED")], "function, deed, parameter, place, ways", f"SELECT path, {own('function')}, deed, CAST(parameter AS INTEGER) AS parameter, {own('place')}, ways FROM rows"),
 )
 
 
-def summary_of(column: str) -> Callable[[plans.Scan], DataFrame]:
+def summary_of(column: str) -> Callable[[plans.Parts], DataFrame]:
     return lambda s: s.summaries().filter(column).select("function", *([] if column.startswith("return") else ["tainted_params"]))
 
 
 for name, column, word in (("summary_return_null", "return_nullable", "NULLABLE"), ("summary_return_taint", "return_tainted", "TAINTED")):
-    register(name, summary_of(column), foretold([(i, n, f) for i, n, f in lists(word)], "function", f"SELECT {own('function')} FROM rows"))
-register("summary_param_taint", lambda s: s.summaries().filter("tainted_params <> ''").select("function", "tainted_params"), foretold([(i, n, f, at) for i, n, f, at in lists("PARAMS")], "function, tainted_params", f"SELECT {own('function')}, tainted_params FROM rows"))
+    register_part(name, summary_of(column), foretold([(i, n, f) for i, n, f in lists(word)], "function", f"SELECT {own('function')} FROM rows"))
+register_part("summary_param_taint", lambda s: s.summaries().filter("tainted_params <> ''").select("function", "tainted_params"), foretold([(i, n, f, at) for i, n, f, at in lists("PARAMS")], "function, tainted_params", f"SELECT {own('function')}, tainted_params FROM rows"))
 #: The kinds of an edge's ends; a call's end is a function only if its case has it.
 ENDS = {"CALL": ("function", "function"), "DATA_FLOW": ("variable_ref", "variable_ref"), "ALIAS": ("variable_ref", "variable_ref"), "OWNERSHIP_TRANSFER": ("variable_ref", "global_var"), "RELEASE": ("variable_ref", "external_function"), "PARAM_BINDING": ("variable_ref", "parameter"), "RETURN": ("return_slot", "variable_ref"), "LOCK_ORDER": ("mutex", "mutex"), "GLOBAL_ACCESS": ("function", "global_var")}
 
@@ -174,9 +195,9 @@ def ends() -> list[tuple]:
     return sorted(set(out))
 
 
-register(
+register_part(
     "graph_nodes_distinct",
-    lambda s: s.nodes.groupBy("entity_type").agg(F.count("*").alias("nodes"), F.countDistinct("owner", "name").alias("names")),
+    lambda s: graph.nodes(s.edges(*EDGES)).groupBy("entity_type").agg(F.count("*").alias("nodes"), F.countDistinct("owner", "name").alias("names")),
     foretold(ends(), "entity_type, owner, name", "SELECT entity_type, count(*) AS nodes, count(*) AS names FROM (SELECT DISTINCT entity_type, CASE WHEN owner <> '' THEN path || owner END, replace(name, '{k}', k) FROM rows) GROUP BY entity_type"),
 )
 
@@ -184,9 +205,9 @@ register(
 # ---- statement graphs and flows, by line
 
 
-register("flow_next_statement", lambda s: probes.rows(s.files, probes.next_lines, "path string, function string, line int, next_line int"), foretold([(i, n, f, int(step.split(">")[0]), int(b)) for i, n, f, steps in lists("NEXT") for step in steps.split(";") for b in step.split(">")[1].split(",")], "function, line, next_line", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line, CAST(next_line AS INTEGER) AS next_line FROM rows"))
-register("flow_on_every_way", lambda s: probes.rows(s.files, probes.passes, "path string, function string, line int"), foretold([(i, n, f, int(a)) for i, n, f, lines in lists("EVERY") for a in lines.split(",")], "function, line", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line FROM rows"))
-register("flow_ranges", lambda s: probes.rows(s.files, probes.ranges, "path string, function string, line int, variable string, least string, greatest string"), foretold([(i, n, f, int(a), v, lo, hi) for i, n, f, a, v, lo, hi in lists("RANGE")], "function, line, variable, least, greatest", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line, variable, nullif(least, 'open') AS least, nullif(greatest, 'open') AS greatest FROM rows"))
+register_part("flow_next_statement", lambda s: probes.rows(s.given, probes.next_lines, "path string, function string, line int, next_line int"), foretold([(i, n, f, int(step.split(">")[0]), int(b)) for i, n, f, steps in lists("NEXT") for step in steps.split(";") for b in step.split(">")[1].split(",")], "function, line, next_line", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line, CAST(next_line AS INTEGER) AS next_line FROM rows"))
+register_part("flow_on_every_way", lambda s: probes.rows(s.given, probes.passes, "path string, function string, line int"), foretold([(i, n, f, int(a)) for i, n, f, lines in lists("EVERY") for a in lines.split(",")], "function, line", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line FROM rows"))
+register_part("flow_ranges", lambda s: probes.rows(s.given, probes.ranges, "path string, function string, line int, variable string, least string, greatest string"), foretold([(i, n, f, int(a), v, lo, hi) for i, n, f, a, v, lo, hi in lists("RANGE")], "function, line, variable, least, greatest", f"SELECT path, {own('function')}, CAST(line AS INTEGER) AS line, variable, nullif(least, 'open') AS least, nullif(greatest, 'open') AS greatest FROM rows"))
 
 
 # ---- candidates: filters, results, ranks, counts
@@ -206,15 +227,15 @@ def place_of(rows: DataFrame, *more: Column | str) -> DataFrame:
 
 PLACE_SQL = f"vuln_type, path, {own('function')}, CAST(line AS INTEGER) AS line, {own('variable')}"
 for t in TYPES:
-    register(
+    register_part(
         f"scan_{t.replace('-', '_')}",
-        lambda s, t=t: place_of(s.ranked.filter(F.col("vuln_type") == t), "suspicion", "cwe"),
+        lambda s, t=t: place_of(s.results([TYPES[t]]), "suspicion", "cwe"),
         foretold(result_rows(lambda kind, outcome, t=t: kind == t and outcome in OUTCOMES), RESULT_COLUMNS, f"SELECT {PLACE_SQL}, outcome AS suspicion, 'CWE-{TYPES[t].cwe}' AS cwe FROM rows"),
     )
 for f in ("call_reach", "safe_function_exclude", "memory_release", "resource_release", "ownership_transfer", "sizeof_pseudo_deref", "non_nullable_array_suppress", "guard", *FLOW_FILTERS):
-    register(f"filter_{f}", lambda s, f=f: place_of(s.candidates.filter(F.col("drop_filter") == f)), foretold(result_rows(lambda kind, outcome, f=f: outcome == f), RESULT_COLUMNS, f"SELECT {PLACE_SQL} FROM rows"))
+    register_part(f"filter_{f}", lambda s, f=f: place_of(s.candidates([t for t in TYPES.values() if f in t.filters], f).filter(F.col("drop_filter") == f)), foretold(result_rows(lambda kind, outcome, f=f: outcome == f), RESULT_COLUMNS, f"SELECT {PLACE_SQL} FROM rows"))
 for f, t in (("lock_order", "deadlock"), ("shared_access", "race-condition")):
-    register(f"filter_{f}", lambda s, t=t: place_of(s.candidates.filter((F.col("vuln_type") == t) & F.col("drop_filter").isNull()), "suspicion"), foretold(result_rows(lambda kind, outcome, t=t: kind == t and outcome in OUTCOMES), RESULT_COLUMNS, f"SELECT {PLACE_SQL}, outcome AS suspicion FROM rows"))
+    register_part(f"filter_{f}", lambda s, t=t: place_of(s.candidates([TYPES[t]]).filter("drop_filter is null"), "suspicion"), foretold(result_rows(lambda kind, outcome, t=t: kind == t and outcome in OUTCOMES), RESULT_COLUMNS, f"SELECT {PLACE_SQL}, outcome AS suspicion FROM rows"))
 
 register(
     "flow_sources",

@@ -76,6 +76,15 @@ TYPES: dict[str, VulnType] = {
     )
 }
 
+#: The detectors that a type of event comes from.
+SOURCES: dict[str, tuple[str, ...]] = {
+    "NULL_VALUE": ("null_source",), "DEREFERENCE": ("dereference", "null_source", "param_deref"), "NULL_GUARD": ("null_guard",), "BUFFER_ACCESS": ("buffer_overflow",), "MEMORY_ALLOC": ("memory_leak",), "MEMORY_RELEASE": ("memory_leak",), "INJECTION": ("injection",),
+    "RESOURCE_ACQUIRE": ("resource_leak",), "RESOURCE_RELEASE": ("resource_leak",), "VALUE_USE": ("uninit_variable",), "USE_AFTER_FREE": ("use_after_free",), "DOUBLE_FREE": ("double_free",), "FORMAT_STRING": ("format_string",), "INTEGER_OVERFLOW": ("integer_overflow",),
+    "RACE_CONDITION": ("race_condition",), "HARDCODED_SECRET": ("hardcoded_secret",), "DEADLOCK": ("lock_order",), "LOCK_ORDER": ("lock_order",), "CRYPTO_MISUSE": ("crypto_misuse",), "DIVIDE_BY_ZERO": ("divide_by_zero",), "UNCHECKED_RETURN": ("unchecked_return",),
+    "PATH_TRAVERSAL": ("path_traversal",), "SIZEOF_MISUSE": ("sizeof_misuse",), "SIGNED_COMPARE": ("signed_compare",),
+    "PARAM_DEREF": ("param_deref",), "ARGUMENT": ("param_deref",),
+}
+
 
 # Evidence: the fragment of each type, its role, and what it says.
 FRAGMENTS: dict[str, tuple[str, str, str]] = {

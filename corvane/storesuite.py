@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .csuite import programs
+from .csuite import programs, spread
 from .operators import closure, report
 from .operators.store import Store
 from .plans import kernel
@@ -210,7 +210,7 @@ SELECT p_size > 25 AS parsed_again, count(DISTINCT p_partkey) AS programs FROM p
 """)
 def incremental_facts(t, store):
     """Programs of size 1 are gone, those over 25 have another checksum: only these are parsed again, the others keep the facts that were stored."""
-    files = closure.cut(programs(t("part")))
+    files = closure.cut(programs(spread(t("part"))))
     size = F.regexp_extract("path", "^src/d([0-9]+)/", 1).cast("int")
     store.change(lambda _: {"facts": kernel.facts(files).withColumn("note", F.lit("stored")), "files": files.withColumn("checksum", F.when(size > 25, "old").otherwise(F.col("checksum")))})
     now = kernel.refreshed(store.read("facts"), store.read("files"), files.filter(size != 1))
