@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 #: What each query finds in the files, in one pass.
 ASKED = {
     "detect_buffer_overflow": {"event:buffer_overflow"},
+    "scan_crypto_misuse": {"event:crypto_misuse", "function", "edge:CALL"},
 }
 
 
