@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 ASKED = {
     "detect_buffer_overflow": {"event:buffer_overflow"},
     "scan_crypto_misuse": {"event:crypto_misuse", "function", "edge:CALL"},
+    "edges_alias": {"edge:ALIAS"},
 }
 
 
