@@ -14,6 +14,7 @@ ASKED = {
     "detect_buffer_overflow": {"event:buffer_overflow"},
     "scan_crypto_misuse": {"event:crypto_misuse", "function", "edge:CALL"},
     "edges_alias": {"edge:ALIAS"},
+    "edges_call": {"edge:CALL", "function"},
 }
 
 
