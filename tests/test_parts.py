@@ -15,6 +15,7 @@ ASKED = {
     "scan_crypto_misuse": {"event:crypto_misuse", "function", "edge:CALL"},
     "edges_alias": {"edge:ALIAS"},
     "edges_call": {"edge:CALL", "function"},
+    "edges_data_flow": {"edge:DATA_FLOW"},
 }
 
 
