@@ -16,6 +16,7 @@ ASKED = {
     "edges_alias": {"edge:ALIAS"},
     "edges_call": {"edge:CALL", "function"},
     "edges_data_flow": {"edge:DATA_FLOW"},
+    "edges_global_access": {"edge:GLOBAL_ACCESS"},
 }
 
 
