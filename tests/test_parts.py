@@ -17,6 +17,7 @@ ASKED = {
     "edges_call": {"edge:CALL", "function"},
     "edges_data_flow": {"edge:DATA_FLOW"},
     "edges_global_access": {"edge:GLOBAL_ACCESS"},
+    "edges_lock_order": {"edge:LOCK_ORDER"},
 }
 
 
