@@ -18,6 +18,7 @@ ASKED = {
     "edges_data_flow": {"edge:DATA_FLOW"},
     "edges_global_access": {"edge:GLOBAL_ACCESS"},
     "edges_lock_order": {"edge:LOCK_ORDER"},
+    "edges_ownership_transfer": {"edge:OWNERSHIP_TRANSFER"},
 }
 
 
