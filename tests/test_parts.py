@@ -19,6 +19,7 @@ ASKED = {
     "edges_global_access": {"edge:GLOBAL_ACCESS"},
     "edges_lock_order": {"edge:LOCK_ORDER"},
     "edges_ownership_transfer": {"edge:OWNERSHIP_TRANSFER"},
+    "edges_param_binding": {"edge:PARAM_BINDING", "function"},
 }
 
 
