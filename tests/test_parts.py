@@ -20,6 +20,7 @@ ASKED = {
     "edges_lock_order": {"edge:LOCK_ORDER"},
     "edges_ownership_transfer": {"edge:OWNERSHIP_TRANSFER"},
     "edges_param_binding": {"edge:PARAM_BINDING", "function"},
+    "edges_release": {"edge:RELEASE"},
 }
 
 
