@@ -21,6 +21,7 @@ ASKED = {
     "edges_ownership_transfer": {"edge:OWNERSHIP_TRANSFER"},
     "edges_param_binding": {"edge:PARAM_BINDING", "function"},
     "edges_release": {"edge:RELEASE"},
+    "edges_return": {"edge:RETURN", "function"},
 }
 
 
