@@ -22,6 +22,7 @@ ASKED = {
     "edges_param_binding": {"edge:PARAM_BINDING", "function"},
     "edges_release": {"edge:RELEASE"},
     "edges_return": {"edge:RETURN", "function"},
+    "filter_definite_init": {"event:uninit_variable", "function", "deed", "thread", "edge:CALL"},
 }
 
 
