@@ -23,6 +23,7 @@ ASKED = {
     "edges_release": {"edge:RELEASE"},
     "edges_return": {"edge:RETURN", "function"},
     "filter_definite_init": {"event:uninit_variable", "function", "deed", "thread", "edge:CALL"},
+    "filter_int_overflow_guard": {"event:integer_overflow", "function", "edge:CALL"},
 }
 
 
