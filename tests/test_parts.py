@@ -24,6 +24,7 @@ ASKED = {
     "edges_return": {"edge:RETURN", "function"},
     "filter_definite_init": {"event:uninit_variable", "function", "deed", "thread", "edge:CALL"},
     "filter_int_overflow_guard": {"event:integer_overflow", "function", "edge:CALL"},
+    "filter_non_nullable_array_suppress": {"event:dereference"},
 }
 
 
