@@ -25,6 +25,7 @@ ASKED = {
     "filter_definite_init": {"event:uninit_variable", "function", "deed", "thread", "edge:CALL"},
     "filter_int_overflow_guard": {"event:integer_overflow", "function", "edge:CALL"},
     "filter_non_nullable_array_suppress": {"event:dereference"},
+    "filter_memory_release": {"event:memory_leak", "function", "deed", "thread", "edge:CALL"},
 }
 
 
