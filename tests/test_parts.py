@@ -27,6 +27,7 @@ ASKED = {
     "filter_non_nullable_array_suppress": {"event:dereference"},
     "filter_memory_release": {"event:memory_leak", "function", "deed", "thread", "edge:CALL"},
     "filter_nullable_source": {"event:dereference", "event:null_source", "event:param_deref", "event:buffer_overflow", "function", "summary:null"},
+    "filter_range": {"event:divide_by_zero", "function", "edge:CALL"},
 }
 
 
