@@ -29,6 +29,7 @@ ASKED = {
     "filter_nullable_source": {"event:dereference", "event:null_source", "event:param_deref", "event:buffer_overflow", "function", "summary:null"},
     "filter_range": {"event:divide_by_zero", "function", "edge:CALL"},
     "filter_shared_access": {"event:race_condition", "function", "deed", "thread", "edge:CALL", "edge:GLOBAL_ACCESS"},
+    "filter_sizeof_pseudo_deref": {"event:dereference"},
 }
 
 
