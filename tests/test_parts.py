@@ -31,6 +31,7 @@ ASKED = {
     "filter_shared_access": {"event:race_condition", "function", "deed", "thread", "edge:CALL", "edge:GLOBAL_ACCESS"},
     "filter_sizeof_pseudo_deref": {"event:dereference"},
     "filter_taint_source": {"event:injection", "event:path_traversal", "event:format_string", "function", "edge:CALL", "summary:taint"},
+    "filter_resource_release": {"event:resource_leak", "function", "edge:CALL"},
 }
 
 
