@@ -233,7 +233,7 @@ for t in TYPES:
         foretold(result_rows(lambda kind, outcome, t=t: kind == t and outcome in OUTCOMES), RESULT_COLUMNS, f"SELECT {PLACE_SQL}, outcome AS suspicion, 'CWE-{TYPES[t].cwe}' AS cwe FROM rows"),
     )
 for f in ("call_reach", "safe_function_exclude", "memory_release", "resource_release", "ownership_transfer", "sizeof_pseudo_deref", "non_nullable_array_suppress", "guard", *FLOW_FILTERS):
-    register_part(f"filter_{f}", lambda s, f=f: place_of(s.candidates([t for t in TYPES.values() if f in t.filters], f).filter(F.col("drop_filter") == f)), foretold(result_rows(lambda kind, outcome, f=f: outcome == f), RESULT_COLUMNS, f"SELECT {PLACE_SQL} FROM rows"))
+    register_part(f"filter_{f}", lambda s, f=f: place_of(s.dropped([t for t in TYPES.values() if f in t.filters], f)), foretold(result_rows(lambda kind, outcome, f=f: outcome == f), RESULT_COLUMNS, f"SELECT {PLACE_SQL} FROM rows"))
 for f, t in (("lock_order", "deadlock"), ("shared_access", "race-condition")):
     register_part(f"filter_{f}", lambda s, t=t: place_of(s.candidates([TYPES[t]]).filter("drop_filter is null"), "suspicion"), foretold(result_rows(lambda kind, outcome, t=t: kind == t and outcome in OUTCOMES), RESULT_COLUMNS, f"SELECT {PLACE_SQL}, outcome AS suspicion FROM rows"))
 

@@ -54,3 +54,12 @@ def test_text_rules_out_no_candidate():
         ("event:divide_by_zero", "int f(int a) { return 1%a; }"),
     ):
         assert list(kernel.rows_of("p", source, frozenset([wanted]))), source
+
+
+@pytest.mark.parametrize(("by", "path"), [("sizeof_pseudo_deref", "size.c"), ("non_nullable_array_suppress", "array.c")])
+def test_files_where_a_filter_drops_nothing_are_not_parsed(spark, by, path):
+    files = spark.createDataFrame([("size.c", "int f(int *p) { return _Alignof(*p) + sizeof(p->a); }"), ("array.c", "int a[3]; int f(void) { return *a; }"), ("other.c", "int f(int *p) { return *p; }")], "path string, source string")
+    parts = engine.Parts(files)
+    assert {r.path for r in parts.dropped([TYPES["null-deref"]], by).collect()} == {path}
+    assert {r.path for facts in parts.found.values() for r in facts.collect()} == {path}
+    assert {r.path for r in parts.candidates([TYPES["null-deref"]], by).collect()} == {"size.c", "array.c", "other.c"}
